@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .neardup import near_duplicate_documents
 from .toxicity import toxic_documents
 
 QUERIES = {
     "op6_toxicity": toxic_documents,
+    "op10_minhash_lsh_forest": near_duplicate_documents,
 }
 
 ORACLES: dict[str, str] = {}

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SPACE = re.compile(r"\s")
 _LONGEST_CACHED = 64
@@ -37,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
     """Tables written once and read again, so that a lost executor costs a task and no lineage is repeated."""
 

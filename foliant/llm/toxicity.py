@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, bounded_sample, chunks, hash32, numbers, pieces, table, word
+from .shared import Words, bounded_sample, chunks, hash32, in_arrow, numbers, pieces, table, word
 
 PARTS = 3
 
@@ -198,7 +198,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, fit: Fit) -> tuple[li
                 rows.append(np.array(w, np.int32).tobytes() if 0 < len(w) <= longest else b"")
             yield pa.RecordBatch.from_pydict({"doc_id": d["doc_id"], "lang": d["lang"], "toxic": pa.array(d["toxic"], pa.int32()), "rows": pa.array(rows, pa.binary())}, schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("toxic", pa.int32()), ("rows", pa.binary())]))
 
-    got = texts.select(F.col("doc_id").cast("long"), "lang", "toxic", "text").mapInArrow(read, "doc_id long, lang string, toxic int, rows binary").toPandas()
+    got = in_arrow(texts.select(F.col("doc_id").cast("long"), "lang", "toxic", "text"), read, "doc_id long, lang string, toxic int, rows binary").toPandas()
     got = got[got["rows"].map(len) > 0].sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     return [np.frombuffer(x, np.int32).reshape(-1, PARTS) for x in got["rows"]], got["toxic"].to_numpy(), [x if isinstance(x, str) else None for x in got["lang"]]
 
@@ -307,7 +307,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 none = np.isnan(s)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float64), mask=none), pa.array(t), pa.array(np.where(none, False, s >= t))], names=["doc_id", "lang", "score", "threshold", "toxic"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang string, score double, threshold double, toxic boolean")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return in_arrow(rows, run, "doc_id long, lang string, score double, threshold double, toxic boolean")
 
 
 def reject_toxic(documents: DataFrame, model: Model) -> DataFrame:
@@ -326,7 +327,7 @@ def reject_toxic(documents: DataFrame, model: Model) -> DataFrame:
                 t = np.array([limits.get(x, limits[None]) for x in b.column(lang).to_pylist()])
                 yield b.filter(pa.array(~(np.nan_to_num(s, nan=-1.0) >= t)))
 
-    return documents.mapInArrow(run, schema)
+    return in_arrow(documents, run, schema)
 
 
 def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
