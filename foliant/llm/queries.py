@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .decontam import leaked_benchmark
 from .neardup import near_duplicate_documents
 from .toxicity import toxic_documents
 
 QUERIES = {
     "op6_toxicity": toxic_documents,
+    "op9_decontamination": leaked_benchmark,
     "op10_minhash_lsh_forest": near_duplicate_documents,
 }
 
