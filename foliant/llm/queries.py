@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .decontam import leaked_benchmark
+from .mixing import MIXED_SQL, mixed_documents
 from .neardup import near_duplicate_documents
+from .sharding import sharded_documents
 from .toxicity import toxic_documents
 
 QUERIES = {
     "op6_toxicity": toxic_documents,
+    "op7_sharding": sharded_documents,
+    "op8_mixing": mixed_documents,
     "op9_decontamination": leaked_benchmark,
     "op10_minhash_lsh_forest": near_duplicate_documents,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mixing": MIXED_SQL,
+}
