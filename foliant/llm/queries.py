@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontam import leaked_benchmark
 from .mixing import MIXED_SQL, mixed_documents
 from .neardup import near_duplicate_documents
@@ -9,6 +11,7 @@ from .sharding import sharded_documents
 from .toxicity import toxic_documents
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op6_toxicity": toxic_documents,
     "op7_sharding": sharded_documents,
     "op8_mixing": mixed_documents,
