@@ -5,13 +5,17 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .decontam import leaked_benchmark
+from .langid import identified_documents
 from .mixing import MIXED_SQL, mixed_documents
 from .neardup import near_duplicate_documents
 from .sharding import sharded_documents
+from .tokencount import counted_documents
 from .toxicity import toxic_documents
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op3_token_counts": counted_documents,
+    "op5_language_id": identified_documents,
     "op6_toxicity": toxic_documents,
     "op7_sharding": sharded_documents,
     "op8_mixing": mixed_documents,
