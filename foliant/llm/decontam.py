@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, Words, chunks, hash32, in_arrow, numbers, ragged, table, word
+from .shared import Scratch, chunks, hashed_words, in_arrow, ragged, table
 
 BITS = 15
 TERMS = 1 << BITS
@@ -38,23 +38,25 @@ VERBATIM, PARAPHRASE = 0.7, 0.55
 ANSWER, ANSWER_SHARE = 8, 0.75
 SHORTEST = 5
 COMMON = 0.005
+TELLING = 5
 SLICE = 50_000
 SEED = 11
 
 
-def term(raw: str) -> int:
-    w = word(raw)
-    return 1 + hash32(w) % (TERMS - 1) if w else 0
+def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The term of every word, and where each text's start."""
+    h, starts = hashed_words(texts)
+    return (1 + h % np.uint32(TERMS - 1)).astype(np.uint16), starts
 
 
 def term_table(documents: DataFrame) -> DataFrame:
     """doc_id and all terms of the text, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(term)
         for batch in batches:
             for b in chunks(batch):
-                rows = [numbers(t, words, np.uint16).tobytes() for t in b.column(1).to_pylist()]
+                ids, starts = terms_of(b.column(1).to_pylist())
+                rows = [ids[i:j].tobytes() for i, j in zip(starts, starts[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "terms"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
@@ -87,11 +89,18 @@ def frequencies(terms: DataFrame) -> np.ndarray:
     return out
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
-    """Inverse document frequency; 0 for stop terms, those in more than a share COMMON of the documents."""
+def weights(counts: np.ndarray, items: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Inverse document frequency; 0 for stop terms, those in more than a share COMMON of the documents.
+
+    The TELLING rarest terms of each item are never stop terms, so that an item of common words can be found too.
+    """
     n, df = counts[-1], counts[:-1]
     w = np.log1p(n / (df + 0.5)).astype(np.float32)
-    w[df > COMMON * n + 10] = 0
+    stop = df > COMMON * n + 10
+    for _, ids in items:
+        own = np.unique(ids)
+        stop[own[np.argsort(df[own], kind="stable")[:TELLING]]] = False
+    w[stop] = 0
     w[0] = 0
     return w
 
@@ -220,9 +229,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def benchmark_items(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:
-    words = Words(term)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    items = [(r.item_id, numbers(r.text, words, np.uint16)) for r in rows.toLocalIterator()]
+    items = [(r.item_id, terms_of([r.text])[0]) for r in rows.toLocalIterator()]
     return sorted((x for x in items if len(x[1]) >= SHORTEST), key=lambda x: x[0])
 
 
@@ -296,7 +304,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     counts = frequencies(terms)
     if not counts[-1]:
         return empty
-    w = weights(counts)
+    w = weights(counts, items)
     latent = latent_map(gram_times_gaussian(terms, w), w)
     found = empty
     for i in range(0, len(items), SLICE):

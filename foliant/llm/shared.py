@@ -121,6 +121,43 @@ def numbers(text: str, words: Words, dtype=np.uint32) -> np.ndarray:
     return a[a != 0] if len(a) and not a.all() else a
 
 
+_INSIDE = np.zeros(256, bool)
+_INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_PLACE = np.random.default_rng(41).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits of every lower-case word of the texts, and where each text's words start (one more entry: the end).
+
+    A word is a run of ASCII letters, digits and characters beyond ASCII. All is done on the bytes at once, without an
+    object for each word, long texts in pieces.
+    """
+    parts = [(k, p.lower().encode("utf-8", "replace")) for k, t in enumerate(texts) if t for p in pieces(t)]
+    hashes, ends = [], np.zeros(len(texts) + 1, np.int64)
+    at = 0
+    while at < len(parts):
+        stop, size = at, 0
+        while stop < len(parts) and (stop == at or size + len(parts[stop][1]) <= PIECE):
+            size += len(parts[stop][1]) + 1
+            stop += 1
+        b = np.frombuffer(b"\n".join([p for _, p in parts[at:stop]]) + b"\n", np.uint8)
+        inside = _INSIDE[b]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(b) and inside[0]:
+            edge = np.append(0, edge)
+        first, length = edge[::2], edge[1::2] - edge[::2]
+        start = np.cumsum(length) - length
+        within = np.arange(length.sum()) - np.repeat(start, length)
+        h = np.add.reduceat(b[inside].astype(np.uint64) * _PLACE[within & 4095], start) if len(start) else np.zeros(0, np.uint64)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        hashes.append((h >> np.uint64(32)).astype(np.uint32))
+        offsets = np.cumsum([0] + [len(p) + 1 for _, p in parts[at:stop]])
+        np.add.at(ends, np.array([k for k, _ in parts[at:stop]]) + 1, np.diff(np.searchsorted(first, offsets)))
+        at = stop
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)), np.cumsum(ends)
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about a megabyte of text each, at least one row."""
     if not batch.num_rows:
