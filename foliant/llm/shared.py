@@ -93,12 +93,6 @@ class Words(dict):
         return value
 
 
-def word_hash(raw: str) -> int:
-    """32 bits of a word, never 0; 0 for punctuation."""
-    w = word(raw)
-    return (hash32(w) or 1) if w else 0
-
-
 def pieces(text: str) -> Iterator[str]:
     """A text in parts of about a megabyte, cut at white space, so that no list of all its words is ever built."""
     at = 0
