@@ -1,4 +1,329 @@
-"""The registered queries and their SQL counterparts."""
+"""The registered queries over the shared tables and the SQL each is held against."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import FieldConfig, Flag, IndexConfig
+from ..functions.analyzers import STOP_WORDS, lexer, lowered, standard, stopped
+from ..operators import aggregate as a
+from ..operators.collection import Collection
+from ..operators.query import Query, all_, and_, contains, named, not_, number, number_range, or_, present, token, token_range
+from .sorting import desc
+
+Run = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Run] = {}
+ORACLES: dict[str, str] = {}
+TEXT = FieldConfig(Flag.SEARCHABLE | Flag.STORED, analyzer=standard)
+PLAIN = FieldConfig(Flag.SEARCHABLE | Flag.STORED)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
+    def register(run: Run) -> Run:
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return run
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str, **fields: FieldConfig) -> Collection:
+    return Collection.of(table(spark, d, "documents"), "doc_id", IndexConfig({"text": TEXT, "lang": PLAIN, "source": PLAIN, **fields}, default=PLAIN))
+
+
+def plain(spark: SparkSession, d: str, name: str, key: str) -> Collection:
+    return Collection.of(table(spark, d, name), key, IndexConfig(default=PLAIN))
+
+
+def lines(spark: SparkSession, d: str) -> Collection:
+    t = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("_id"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey", "l_discount")
+    return Collection.of(t, "_id", IndexConfig(default=PLAIN))
+
+
+def ids(found: DataFrame, name: str) -> DataFrame:
+    return found.select(F.col("_id").alias(name))
+
+
+WORDS = r"regexp_split_to_array(regexp_replace(lower(text), '^[\s\x0B]+|[\s\x0B]+$', '', 'g'), '[\s\x0B\-,;:.]+')"
+STOPS = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+D = f"(SELECT *, {WORDS} AS t FROM documents)"
+
+
+def has(word: str) -> str:
+    return f"list_contains(t, '{word}')"
+
+
+# ---- predicates
+
+
+@query("min_slice", f"SELECT doc_id, lang, n_chars FROM {D} WHERE {has('the')} AND {has('of')} AND lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 10")
+def min_slice(spark: SparkSession, d: str) -> DataFrame:
+    q = and_(token("the", "text"), token("of", "text"), token("en", "lang"))
+    return documents(spark, d).query(q, [desc("n_chars")], 10, ["lang", "n_chars"]).withColumnRenamed("_id", "doc_id")
+
+
+def on_documents(name: str, where: str, q: Query) -> None:
+    query(name, f"SELECT doc_id FROM {D} WHERE {where}")(lambda spark, d: ids(documents(spark, d).query(q, projection=[]), "doc_id"))
+
+
+on_documents("match_all", "TRUE", all_())
+on_documents("token_text", has("the"), token("the", "text"))
+on_documents("token_case", "FALSE", token("THE", "text"))
+on_documents("token_any", "list_has_any(t, ['the', 'und'])", token(["the", "und"], "text"))
+on_documents("and_or", f"({has('the')} OR {has('der')}) AND ({has('of')} OR {has('und')})", and_(or_(token("the", "text"), token("der", "text")), or_(token("of", "text"), token("und", "text"))))
+on_documents("and_not", f"{has('the')} AND NOT {has('of')}", and_(token("the", "text"), not_(token("of", "text"))))
+on_documents("not_token", f"NOT {has('the')}", not_(token("the", "text")))
+on_documents("token_range", "len(list_filter(t, lambda x: x >= 'wa' AND x < 'wh')) > 0", token_range("text", "wa", "wh"))
+on_documents("text_contains", "contains(lower(text), 'apache license')", contains("Apache License", "text"))
+_STOPPED = f"list_filter(list_concat(list_concat(t, regexp_split_to_array(lower(lang), '[\\s\\x0B\\-,;:.]+')), regexp_split_to_array(lower(source), '[\\s\\x0B\\-,;:.]+')), lambda x: x NOT IN ({STOPS}))"
+on_documents("token_all_field", f"list_contains({_STOPPED}, 'src7') OR list_contains({_STOPPED}, 'the')", or_(token("src7"), token("the")))
+
+
+@query("clause_groups", f"SELECT doc_id FROM {D} WHERE {has('the')} AND NOT {has('of')} AND (lang = 'en' OR source = 'src3')")
+def clause_groups(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.query import Groups
+
+    q = Groups(should=(token("en", "lang"), token("src3", "source")), must=(token("the", "text"),), must_not=(token("of", "text"),))
+    return ids(documents(spark, d).query(q, projection=[]), "doc_id")
+
+
+@query("keyword_token", "SELECT event_id FROM events WHERE event_type = 'error'")
+def keyword_token(spark: SparkSession, d: str) -> DataFrame:
+    return ids(plain(spark, d, "events", "event_id").query(token("error", "event_type"), projection=[]), "event_id")
+
+
+@query("token_boolean", "SELECT doc_id FROM labels WHERE toxic = 1 AND NOT quality = 1")
+def token_boolean(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("bad"), (F.col("quality") == 1).alias("good"))
+    rows = Collection.of(t, "doc_id", IndexConfig(default=PLAIN)).query(and_(token(True, "bad"), token(False, "good")), projection=[])
+    return ids(rows, "doc_id")
+
+
+@query("number_eq", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE floor(l_quantity) = 17")
+def number_eq(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).query(number(17.9, "l_quantity"), projection=["l_orderkey", "l_linenumber", "l_quantity"]).drop("_id")
+
+
+@query("number_range", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE floor(l_partkey) >= 64 AND floor(l_partkey) < 70")
+def number_range_(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).query(number_range("l_partkey", 64, 70), projection=["l_orderkey", "l_linenumber"]).drop("_id")
+
+
+@query("range_open", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE floor(l_extendedprice) > 90000")
+def range_open(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).query(number_range("l_extendedprice", 90000, None, low_included=False), projection=["l_orderkey", "l_linenumber"]).drop("_id")
+
+
+@query("range_zero", "SELECT event_id FROM events WHERE floor(value) >= 0 AND floor(value) <= 10")
+def range_zero(spark: SparkSession, d: str) -> DataFrame:
+    return ids(plain(spark, d, "events", "event_id").query(number_range("value", 0, 10, high_included=True), projection=[]), "event_id")
+
+
+@query("range_multivalued", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: floor(x) >= 0)) > 0 AND NOT len(list_filter(embedding, lambda x: floor(x) = -1)) = 0")
+def range_multivalued(spark: SparkSession, d: str) -> DataFrame:
+    q = and_(number_range("embedding", 0), number(-1, "embedding"))
+    return ids(plain(spark, d, "embeddings", "vec_id").query(q, projection=[]), "vec_id")
+
+
+@query("present_json", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def present_json(spark: SparkSession, d: str) -> DataFrame:
+    c = Collection.of(table(spark, d, "events"), "event_id", IndexConfig({"k": FieldConfig(generator=lambda: F.get_json_object("props", "$.k"))}, default=PLAIN))
+    return ids(c.query(present("k"), projection=[]), "event_id")
+
+
+@query("present_missing", "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL")
+def present_missing(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return ids(Collection.of(t, "doc_id", IndexConfig(default=PLAIN)).query(not_(present("quality")), projection=[]), "doc_id")
+
+
+@query("floor_index", "SELECT event_id, CAST(floor(value) AS BIGINT) AS whole FROM events WHERE value IS NOT NULL")
+def floor_index(spark: SparkSession, d: str) -> DataFrame:
+    c = plain(spark, d, "events", "event_id")
+    return c.df.select("event_id", F.explode(c.fields.values("value", "n")).alias("whole"))
+
+
+# ---- analysis
+
+
+@query("lexer_tokens", "SELECT page_id, w AS term, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(url, '[a-z]{3,}|[0-9]+')) AS w FROM pages) GROUP BY ALL")
+def lexer_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rules = lexer([("TOKEN", "[a-z]{3,}|[0-9]+")])
+    return table(spark, d, "pages").select("page_id", F.explode(rules(F.col("url"))).alias("term")).groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vocab_df", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM {D}) GROUP BY term")
+def vocab_df(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).vocabulary("text")
+
+
+@query("stopword_vocab", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM {D}) WHERE term NOT IN ({STOPS}) GROUP BY term")
+def stopword_vocab(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d, text=FieldConfig(analyzer=stopped(lowered(standard)))).vocabulary("text")
+
+
+# ---- order and limits
+
+
+@query("topk_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def topk_desc(spark: SparkSession, d: str) -> DataFrame:
+    return plain(spark, d, "orders", "o_orderkey").query(all_(), [desc("o_totalprice")], 25, ["o_totalprice"]).withColumnRenamed("_id", "o_orderkey")
+
+
+@query("topk_one", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1")
+def topk_one(spark: SparkSession, d: str) -> DataFrame:
+    return plain(spark, d, "orders", "o_orderkey").query(all_(), ["o_totalprice"], 1, ["o_totalprice"]).withColumnRenamed("_id", "o_orderkey")
+
+
+@query("implicit_limit", "SELECT event_id FROM events ORDER BY event_type, event_id LIMIT 1000")
+def implicit_limit(spark: SparkSession, d: str) -> DataFrame:
+    return ids(plain(spark, d, "events", "event_id").query(all_(), ["event_type"], None, []), "event_id")
+
+
+@query("sort_multi", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 40")
+def sort_multi(spark: SparkSession, d: str) -> DataFrame:
+    return plain(spark, d, "customer", "c_custkey").query(all_(), ["c_mktsegment", desc("c_acctbal")], 40, ["c_mktsegment", "c_acctbal"]).withColumnRenamed("_id", "c_custkey")
+
+
+@query("sort_collated", "SELECT p_partkey, p_name FROM part ORDER BY p_name COLLATE NOCASE.NOACCENT, p_partkey LIMIT 50")
+def sort_collated(spark: SparkSession, d: str) -> DataFrame:
+    return plain(spark, d, "part", "p_partkey").query(all_(), ["p_name"], 50, ["p_name"]).withColumnRenamed("_id", "p_partkey")
+
+
+@query("sort_missing_first", "SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id) ORDER BY l.quality NULLS FIRST, d.doc_id DESC LIMIT 700")
+def sort_missing_first(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+    return Collection.of(t, "doc_id", IndexConfig(default=PLAIN)).query(all_(), ["quality", desc("doc_id")], 700, ["quality"]).select(F.col("_id").alias("doc_id"), F.col("quality").cast("string"))
+
+
+@query("source_rows", "SELECT conv_id, turn, role, text FROM conversations WHERE role = 'user'")
+def source_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = Collection.of(table(spark, d, "conversations"), F.struct("conv_id", "turn"), IndexConfig(default=PLAIN))
+    return c.query(token("user", "role")).select("_source.*")
+
+
+# ---- aggregation
+
+
+@query("agg_count", f"SELECT count(*) AS n FROM {D} WHERE {has('the')}")
+def agg_count(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).aggregate(token("the", "text"), [a.count("n")])[0]
+
+
+@query("agg_count_first_last", "SELECT count(*) AS n, min(event_id) FILTER (WHERE r = 1) AS oldest, min(event_id) FILTER (WHERE s = 1) AS newest FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS r, row_number() OVER (ORDER BY ts DESC, event_id) AS s FROM events WHERE event_type = 'error' AND floor(value) >= 10)")
+def agg_count_first_last(spark: SparkSession, d: str) -> DataFrame:
+    q = and_(token("error", "event_type"), number_range("value", 10))
+    out = plain(spark, d, "events", "event_id").aggregate(q, [a.count("n"), a.first(["ts"], [], "oldest"), a.last(["ts"], [], "newest")])[0]
+    return out.select("n", F.col("oldest._id").alias("oldest"), F.col("newest._id").alias("newest"))
+
+
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS hi, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS lo FROM events"
+
+
+@query("group_count_first_last", f"SELECT event_type, count(*) AS n, min(event_id) FILTER (WHERE hi = 1) AS top_id, min(event_id) FILTER (WHERE lo = 1) AS first_id FROM ({_RANKED}) GROUP BY event_type")
+def group_count_first_last(spark: SparkSession, d: str) -> DataFrame:
+    g = a.group_by("event_type", [a.count("n"), a.first([desc("value")], [], "top"), a.first(["ts"], [], "oldest")])
+    out = plain(spark, d, "events", "event_id").aggregate(all_(), [g])[0]
+    return out.select("event_type", "n", F.col("top._id").alias("top_id"), F.col("oldest._id").alias("first_id"))
+
+
+@query("group_nested", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def group_nested(spark: SparkSession, d: str) -> DataFrame:
+    return plain(spark, d, "events", "event_id").aggregate(all_(), [a.group_by("user_id", [a.group_by("event_type", [a.count("n")])])])[0]
+
+
+@query("group_mixed_order", "SELECT c_mktsegment, c_custkey AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r = 1")
+def group_mixed_order(spark: SparkSession, d: str) -> DataFrame:
+    g = a.group_by("c_mktsegment", [a.first(["c_nationkey", desc("c_acctbal")], [], "f")])
+    return plain(spark, d, "customer", "c_custkey").aggregate(all_(), [g])[0].select("c_mktsegment", F.col("f._id").alias("chosen"))
+
+
+@query("group_missing_key", "SELECT CAST(quality AS VARCHAR) AS quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality")
+def group_missing_key(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return Collection.of(t, "doc_id", IndexConfig(default=PLAIN)).aggregate(all_(), [a.group_by("quality", [a.count("n")])])[0].withColumn("quality", F.col("quality").cast("string"))
+
+
+@query("bucket_term", "SELECT user_id, count(*) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS user_id FROM events) GROUP BY ALL")
+def bucket_term(spark: SparkSession, d: str) -> DataFrame:
+    return plain(spark, d, "events", "event_id").aggregate(all_(), [a.bucket_term("user_id", [a.count("n")])])[0]
+
+
+@query("bucket_numeric", "SELECT CAST(floor(value / 10) * 10 AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1")
+def bucket_numeric(spark: SparkSession, d: str) -> DataFrame:
+    return plain(spark, d, "events", "event_id").aggregate(all_(), [a.bucket_number("value", 10, [a.count("n")], "bucket")])[0].withColumn("bucket", F.col("bucket").cast("long"))
+
+
+# ---- postings, filters, deletions
+
+
+def by_postings(name: str, where: str, q: Query) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c = documents(spark, d)
+        return ids(c.query_postings(q, c.postings(["text", "lang"], with_all=False), []), "doc_id")
+
+    query(name, f"SELECT doc_id FROM {D} WHERE {where}")(run)
+
+
+by_postings("postings_and", f"{has('the')} AND {has('of')}", and_(token("the", "text"), token("of", "text")))
+by_postings("postings_or", f"{has('und')} OR lang = 'fr'", or_(token("und", "text"), token("fr", "lang")))
+by_postings("postings_not", f"{has('the')} AND NOT {has('of')}", and_(token("the", "text"), not_(token("of", "text"))))
+
+
+@query("cached_filter", f"SELECT doc_id FROM {D} WHERE lang = 'en' AND {has('the')} AND NOT {has('with')}")
+def cached_filter(spark: SparkSession, d: str) -> DataFrame:
+    english = named("english", and_(token("en", "lang"), token("the", "text")))
+    return ids(documents(spark, d).query(and_(english, not_(token("with", "text"))), projection=[]), "doc_id")
+
+
+@query("delete_tombstone", "SELECT doc_id FROM documents WHERE lang = 'de' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_tombstone(spark: SparkSession, d: str) -> DataFrame:
+    gone = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    live = table(spark, d, "documents").join(gone, "doc_id", "left_anti")
+    return ids(Collection.of(live, "doc_id", IndexConfig(default=PLAIN)).query(token("de", "lang"), projection=[]), "doc_id")
+
+
+@query("last_name_join", "SELECT c.c_custkey, c.c_name, o.o_orderkey AS last_order FROM customer c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) o ON o.o_custkey = c.c_custkey AND o.r = 1")
+def last_name_join(spark: SparkSession, d: str) -> DataFrame:
+    latest = plain(spark, d, "orders", "o_orderkey").aggregate(all_(), [a.group_by("o_custkey", [a.last(["o_orderdate"], [], "l")])])[0]
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    return c.join(latest, c.c_custkey == latest.o_custkey, "left").select("c_custkey", "c_name", F.col("l._id").alias("last_order"))
+
+
+@query("open_documents", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE floor(value) >= 5 AND floor(value) < 9 GROUP BY 1")
+def open_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON documents without a schema, flattened, queried and grouped."""
+    from ..functions.flatten import open_fields
+    from ..operators.fields import OpenFields
+
+    rows = table(spark, d, "events").select(F.col("event_id").alias("_id"), F.concat(F.lit('{"value":'), F.col("value").cast("string"), F.lit(',"props":'), F.col("props"), F.lit("}")).alias("_source"))
+    c = Collection(open_fields(rows), OpenFields(["value", "props.k"], IndexConfig(default=PLAIN)))
+    return c.aggregate(number_range("value", 5, 9), [a.group_by("props.k", [a.count("n")], "k")])[0]
+
+
+def _streamed(name: str, only: str | None, sql: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Events as a stream of files, filtered as rows arrive; what came is read back from the sink."""
+        import uuid
+
+        schema = table(spark, d, "events").schema
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+        c = Collection.of(stream, "event_id", IndexConfig(default=PLAIN))
+        q = token("error", "event_type") if only is None else and_(token("error", "event_type"), number_range("event_id", 5000))
+        sink = f"foliant_{name}_{uuid.uuid4().hex}"
+        ids(c.query(q, projection=[]), "event_id").writeStream.format("memory").queryName(sink).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(sink)
+
+    query(name, sql)(run)
+
+
+_streamed("stream_current_future", None, "SELECT event_id FROM events WHERE event_type = 'error'")
+_streamed("stream_future", "later", "SELECT event_id FROM events WHERE event_type = 'error' AND event_id >= 5000")
