@@ -35,6 +35,10 @@ class Path:
     many: bool
 
 
+def member(name: str):
+    return lambda x: x[name]
+
+
 def paths(schema: T.StructType) -> dict[str, Path]:
     """Fields of a schema; arrays of structs give arrays of their members, nulls left out. Binary values and maps are kept but have no fields."""
     out: dict[str, Path] = {}
@@ -42,7 +46,7 @@ def paths(schema: T.StructType) -> dict[str, Path]:
     def walk(name: str, column: Column, kind: T.DataType, many: bool) -> None:
         if isinstance(kind, T.StructType):
             for f in kind:
-                inner = column[f.name] if not many else F.transform(column, lambda x, n=f.name: x[n])
+                inner = F.transform(column, member(f.name)) if many else column[f.name]
                 walk(f"{name}.{f.name}" if name else f.name, inner, f.dataType, many)
         elif isinstance(kind, T.ArrayType):
             walk(name, F.flatten(F.filter(column, lambda x: x.isNotNull())) if many else column, kind.elementType, True)
