@@ -83,8 +83,8 @@ on_documents("and_not", f"{has('the')} AND NOT {has('of')}", and_(token("the", "
 on_documents("not_token", f"NOT {has('the')}", not_(token("the", "text")))
 on_documents("token_range", "len(list_filter(t, lambda x: x >= 'wa' AND x < 'wh')) > 0", token_range("text", "wa", "wh"))
 on_documents("text_contains", "contains(lower(text), 'apache license')", contains("Apache License", "text"))
-_STOPPED = f"list_filter(list_concat(list_concat(t, regexp_split_to_array(lower(lang), '[\\s\\x0B\\-,;:.]+')), regexp_split_to_array(lower(source), '[\\s\\x0B\\-,;:.]+')), lambda x: x NOT IN ({STOPS}))"
-on_documents("token_all_field", f"list_contains({_STOPPED}, 'src7') OR list_contains({_STOPPED}, 'the')", or_(token("src7"), token("the")))
+_ALL = f"list_filter(list_concat(list_concat(t, regexp_split_to_array(lower(lang), '[\\s\\x0B\\-,;:.]+')), regexp_split_to_array(lower(source), '[\\s\\x0B\\-,;:.]+')), lambda x: x NOT IN ({STOPS}))"
+on_documents("token_all_field", f"list_contains({_ALL}, 'src7') OR list_contains({_ALL}, 'the')", or_(token("src7"), token("the")))
 
 
 @query("clause_groups", f"SELECT doc_id FROM {D} WHERE {has('the')} AND NOT {has('of')} AND (lang = 'en' OR source = 'src3')")
@@ -327,3 +327,29 @@ def _streamed(name: str, only: str | None, sql: str) -> None:
 
 _streamed("stream_current_future", None, "SELECT event_id FROM events WHERE event_type = 'error'")
 _streamed("stream_future", "later", "SELECT event_id FROM events WHERE event_type = 'error' AND event_id >= 5000")
+
+
+# ---- the workload of the baseline that no query above covers
+
+
+@query("present_all_group", f"SELECT lang, count(*) AS n FROM {D} WHERE source IS NOT NULL AND list_contains({_ALL}, 'licensed') GROUP BY lang")
+def present_all_group(spark: SparkSession, d: str) -> DataFrame:
+    q = and_(present("source"), token("licensed"))
+    return documents(spark, d).aggregate(q, [a.group_by("lang", [a.count("n")])])[0]
+
+
+@query("latest_state", "SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type IN ('error', 'click') AND floor(value) >= 1) WHERE r = 1")
+def latest_state(spark: SparkSession, d: str) -> DataFrame:
+    q = and_(token(["error", "click"], "event_type"), number_range("value", 1))
+    g = a.group_by("user_id", [a.last(["ts"], ["value"], "l")])
+    out = plain(spark, d, "events", "event_id").aggregate(q, [g])[0]
+    return out.select("user_id", F.col("l._id").alias("event_id"), F.floor("l.value").alias("state"))
+
+
+@query("group_key_view", "SELECT user_id, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def group_key_view(spark: SparkSession, d: str) -> DataFrame:
+    """Groups in groups, the inner ones gathered for each outer key."""
+    flat = plain(spark, d, "events", "event_id").aggregate(all_(), [a.group_by("user_id", [a.group_by("event_type", [a.count("n")])])])[0]
+    view = a.nested(flat, ["user_id"])
+    n = F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + g["n"])
+    return view.select("user_id", F.size("groups").cast("long").alias("kinds"), n.alias("n"))
