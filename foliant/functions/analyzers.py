@@ -1,7 +1,8 @@
 """From a string column to an array of terms, in expressions of the engine alone.
 
 An analyzer is a function of columns, so that analysis stays in the JVM and in one scan; they nest, as in
-`stopped(standard)`. White space means ASCII white space.
+`stopped(standard)`. White space means ASCII white space. An analyzer may have a `matches(column, term)`, which says whether
+a term is among those of the column without making them all; None where it can't tell.
 """
 
 from __future__ import annotations
@@ -34,6 +35,22 @@ def standard(c: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(c), r"^[\s\x0B]+|[\s\x0B]+$", ""), r"[\s\x0B\-,;:.]+")
 
 
+_BETWEEN = " \t\n\r\f\x0b-,;:."
+
+
+def _standard_matches(c: Column, term: str) -> Column | None:
+    if not term:
+        return None
+    if any(x in term for x in _BETWEEN):
+        return F.lit(False)
+    text = F.lower(c)
+    quoted = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return F.contains(text, F.lit(term)) & text.rlike(rf"(?:^|[\s\x0B\-,;:.]){quoted}(?:[\s\x0B\-,;:.]|\z)")
+
+
+standard.matches = _standard_matches
+
+
 def lowered(inner: Analyzer) -> Analyzer:
     return lambda c: F.transform(inner(c), F.lower)
 
@@ -41,7 +58,13 @@ def lowered(inner: Analyzer) -> Analyzer:
 def stopped(inner: Analyzer, words: frozenset[str] = STOP_WORDS) -> Analyzer:
     """Without stop words; the order and the repetitions of other terms stay."""
     listed = sorted(words)
-    return lambda c: F.filter(inner(c), lambda t: ~t.isin(listed))
+
+    def run(c: Column) -> Column:
+        return F.filter(inner(c), lambda t: ~t.isin(listed))
+
+    if hasattr(inner, "matches"):
+        run.matches = lambda c, term: F.lit(False) if term in words else inner.matches(c, term)
+    return run
 
 
 def lexer(rules: list[tuple[str, str]], keep: str = "TOKEN") -> Analyzer:

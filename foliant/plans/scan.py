@@ -57,7 +57,10 @@ def has_token(x: q.HasToken, f: Fields) -> Column:
     parts: list[Column] = []
     single = None if f.is_all(x.field) else f.scalar(x.field)
     config = None if f.is_all(x.field) else f.config.of(x.field)
-    if strings:
+    quick = matches(strings, x.field, f)
+    if quick is not None:
+        parts += quick
+    elif strings:
         if single is not None and config.searchable and config.analyzer is None and isinstance(single.kind, T.StringType):
             parts.append(single.column.isin(strings) if len(strings) > 1 else single.column == strings[0])
         elif len(strings) == 1:
@@ -73,6 +76,23 @@ def has_token(x: q.HasToken, f: Fields) -> Column:
     return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
+def matches(terms: list[str], name: str | None, f: Fields) -> list[Column] | None:
+    """Conditions on the columns themselves, where the analyzer has them: no array of terms is built for them."""
+    names = [n for n in f.names() if f.config.of(n).in_all] if f.is_all(name) else [name]
+    config = f.config.catch_all if f.is_all(name) else f.config.of(name)
+    test = getattr(config.analyzer, "matches", None)
+    if not test or not config.searchable:
+        return None
+    out = []
+    for n in names:
+        p = f.scalar(n)
+        if p is None:
+            return None
+        if isinstance(p.kind, T.StringType):
+            out += [test(p.column, t) for t in terms]
+    return None if any(c is None for c in out) else out
+
+
 def in_range(name: str | None, low: int | None, high: int | None, f: Fields) -> Column:
     """Floored values between bounds. On a single typed column this is a comparison of the column itself, which scans can use."""
     single = None if f.is_all(name) else f.scalar(name)

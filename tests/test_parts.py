@@ -176,3 +176,14 @@ def test_random_queries(spark, docs, trees):
         assert sorted(r._id for r in loose.query(tree).collect()) == want
         assert sorted(r._id for r in tight.query(tree).collect()) == want
         assert sorted(r._id for r in tight.query_postings(tree, index, []).collect()) == want
+
+
+def test_matches_equal_terms(spark):
+    texts = ["the end", "The-end", "bathe", "a.the", "the", "\nthe\n", "x the. y", "", None, "re:the;b", "the\x0bz", "it's the\\E", "THE", " the", "th e", "a\\Eb c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for make in (an.standard, an.stopped(an.standard)):
+        for term in ["the", "end", "", "THE", "x the", "it's", "the\\e", "a\\eb", "c", "z", " the"]:
+            quick = make.matches(F.col("t"), term)
+            if quick is not None:
+                both = df.select(F.coalesce(quick, F.lit(False)), F.coalesce(F.array_contains(make(F.col("t")), term), F.lit(False))).collect()
+                assert [r[0] for r in both] == [r[1] for r in both], term
