@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ COMMON = 0.005
 TELLING = 5
 SLICE = 50_000
 SEED = 11
+TEAM = 512  # tasks whose blocks of the matrix product are added up first
 
 
 def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ def gaussian(rows: int) -> np.ndarray:
 def gram_times_gaussian(terms: DataFrame, w: np.ndarray) -> np.ndarray:
     """A'A times a Gaussian block, A being the passages of all documents as unit TF-IDF rows."""
     shared = terms.sparkSession.sparkContext.broadcast(w)
-    part = 1024
+    part = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -153,15 +155,19 @@ def gram_times_gaussian(terms: DataFrame, w: np.ndarray) -> np.ndarray:
                 at = np.append(0, 1 + np.flatnonzero(np.diff(sorted_ids)))
                 z[sorted_ids[at]] += np.add.reduceat(y[passage[order]], at, axis=0)
         z *= w[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS // part, dtype=np.int32)), pa.array([z[i : i + part].tobytes() for i in range(0, TERMS, part)], pa.binary())], names=["part", "z"])
+        n = TERMS // part
+        team = TaskContext.get().partitionId() // TEAM
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, team, np.int32)), pa.array([z[i : i + part].tobytes() for i in range(0, TERMS, part)], pa.binary())], names=["part", "team", "z"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros((part, RANK + EXTRA))
         for x in t.column("z").to_pylist():
             total += np.frombuffer(x, np.float32).reshape(total.shape)
-        return pa.table({"part": t.column("part").slice(0, 1), "z": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"part": t.column("part").slice(0, 1), "team": t.column("team").slice(0, 1), "z": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    got = in_arrow(terms, run, "part int, z binary").groupBy("part").applyInArrow(add, "part int, z binary").toPandas()  # 2**BITS x 64 numbers
+    kinds = "part int, team int, z binary"
+    # in two steps, so that no task adds up more than TEAM or tasks / TEAM blocks; 2**BITS x (RANK + EXTRA) numbers come back
+    got = in_arrow(terms, run, kinds).groupBy("part", "team").applyInArrow(add, kinds).groupBy("part").applyInArrow(add, kinds).toPandas()
     z = np.zeros((TERMS, RANK + EXTRA), np.float32)
     for i, x in zip(got["part"], got["z"]):
         z[i * part : (i + 1) * part] = np.frombuffer(x, np.float32).reshape(part, -1)
@@ -309,13 +315,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = empty
     for i in range(0, len(items), SLICE):
         found = found.union(search(terms, items[i : i + SLICE], latent, w))
-    return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"), F.max("words").alias("words"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"), F.max("words").alias("words"))
+    out = scratch.save(best, "leaks")
+    scratch.remove(terms)
+    return out
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that hold no benchmark item, all columns as they came."""
-    gone = leaks(documents, benchmark).select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents.doc_id == F.col("gone"), "left_anti")
+    gone = leaks(documents, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(gone, documents.doc_id == F.col("__gone"), "left_anti")
 
 
 def leaked_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

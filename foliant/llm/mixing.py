@@ -68,7 +68,8 @@ def thresholds(rows: DataFrame, scratch: Scratch, shares: tuple[float, ...], wei
         opened = state.select(F.col("source").alias("s"), "low").distinct()
         above = 1 << (bits + STEP)
         top = F.shiftright("h", bits + STEP) * F.lit(above)
-        inside = rows.join(opened, F.col("source").eqNullSafe(F.col("s")) & (top == F.col("low")))
+        # at first every row is inside; later the few open buckets, whose written table Spark knows the size of
+        inside = rows.withColumn("low", F.lit(0).cast("long")) if done is None else rows.join(opened, F.col("source").eqNullSafe(F.col("s")) & (top == F.col("low")))
         bucket = F.shiftright("h", bits) * F.lit(width)
         histogram = scratch.save(inside.groupBy("source", "low", bucket.alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.min("h").alias("first"), F.max("h").alias("last")), "histogram")
         running = Window.partitionBy("source", "low").orderBy("bucket")
@@ -87,18 +88,19 @@ def thresholds(rows: DataFrame, scratch: Scratch, shares: tuple[float, ...], wei
 
 
 def tiers(documents: DataFrame, shares: tuple[float, ...] = SHARES, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
-    """The thresholds of every source, a row each: `_source` and `_below`, an ascending array with one hash for each share."""
+    """The thresholds of every source, a row each: `__source` and `__below`, an ascending array with one hash for each share."""
     scratch = Scratch(documents.sparkSession)
     rows = scratch.save(sized(documents, seed), "sized")
     t = thresholds(rows, scratch, shares, weights)
+    scratch.remove(rows)
     below = F.transform(F.sort_array(F.collect_list(F.struct("tier", "below"))), lambda x: x["below"])
-    return t.groupBy(F.col("source").alias("_source")).agg(below.alias("_below"))
+    return scratch.save(t.groupBy(F.col("source").alias("__source")).agg(below.alias("__below")), "tiers")
 
 
 def mix(documents: DataFrame, share: float = SHARES[-1], weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
     """The rows of documents that the budget keeps, all columns as they came."""
     t = tiers(documents, (share,), weights, seed)
-    kept = documents.join(t, F.col("source").eqNullSafe(F.col("_source")) & (hash60(F.col("doc_id"), seed) < F.col("_below")[0]))
+    kept = documents.join(t, F.col("source").eqNullSafe(F.col("__source")) & (hash60(F.col("doc_id"), seed) < F.col("__below")[0]))
     return kept.select(*[documents[f"`{c}`"] for c in documents.columns])
 
 
@@ -108,8 +110,8 @@ def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tiers(documents)
     h = hash60(F.col("doc_id"))
     ids = documents.select("doc_id", "source")
-    tier = F.size(F.filter("_below", lambda b: b <= F.col("h")))
-    found = ids.withColumn("h", h).join(t, F.col("source").eqNullSafe(F.col("_source"))).withColumn("tier", tier)
+    tier = F.size(F.filter("__below", lambda b: b <= F.col("h")))
+    found = ids.withColumn("h", h).join(t, F.col("source").eqNullSafe(F.col("__source"))).withColumn("tier", tier)
     return found.filter(F.col("tier") < len(SHARES)).select("doc_id", "source", "tier")
 
 

@@ -50,18 +50,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, shared_folder(spark), 0
+        self.at: dict[int, tuple[DataFrame, str]] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        """Removes every table of this scratch; call it only when nothing will read them again."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.at[id(table)] = (table, path)
+        return table
+
+    def remove(self, *tables: DataFrame) -> None:
+        """Deletes tables of this scratch that nothing will read again."""
+        for t in tables:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at.pop(id(t))[1])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
