@@ -15,6 +15,7 @@ that much larger. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship
-from .shared import table
+from .shared import in_arrow, table
 
 BUCKET_BYTES = 32 << 20
 SEED = 97
 ADDED = ("shard", "position")
 HASH = "__record_hash__"
+OUT = 1000  # rows given back at once
 
 
 def text_bytes(documents: DataFrame) -> int:
@@ -54,24 +55,28 @@ def record_hash(documents: DataFrame, seed: int) -> Column:
 
 
 def shuffle(documents: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """All rows and columns of documents, with shard and position."""
-    spark = documents.sparkSession
-    ship(spark)
+    """All rows and columns of documents, with shard and position. Each partition is one shard, to be written as a file."""
     documents = documents.drop(*ADDED)
     shards = max(1, math.ceil(text_bytes(documents) / bucket_bytes))
-    rows = documents.withColumn(HASH, record_hash(documents, seed))
-    scattered = rows.withColumn("shard", F.pmod(F.col(HASH), F.lit(shards)).cast("int"))
+    scattered = documents.withColumn(HASH, record_hash(documents, seed)).withColumn("shard", F.pmod(F.col(HASH), F.lit(shards)).cast("int"))
     schema = T.StructType([*documents.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("position", T.LongType())])
-    return scattered.groupBy("shard").applyInArrow(shuffler(seed), schema)
+    return in_arrow(scattered.repartitionById(shards, F.col("shard")), shuffler(seed), schema)
 
 
 def shuffler(seed: int):
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = list(batches)
+        if not sum(b.num_rows for b in whole):
+            return
+        t = pa.Table.from_batches(whole)
+        del whole
         shard = t.column("shard")[0].as_py()
         keys = [(k, "ascending") for k in ("doc_id", HASH) if k in t.column_names]
         order = pa.compute.sort_indices(t.select([k for k, _ in keys]), sort_keys=keys, null_placement="at_start")
-        t = t.take(order.take(pa.array(fisher_yates(t.num_rows, seed, shard)))).drop_columns([HASH])
-        return t.append_column("position", pa.array(np.arange(t.num_rows)))
+        order = order.take(pa.array(fisher_yates(t.num_rows, seed, shard)))
+        for at in range(0, t.num_rows, OUT):
+            part = t.take(order.slice(at, OUT)).drop_columns([HASH])
+            yield from part.append_column("position", pa.array(np.arange(at, at + part.num_rows))).combine_chunks().to_batches()
 
     return run
 
