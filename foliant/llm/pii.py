@@ -130,14 +130,10 @@ def instances(text: str) -> Iterator[tuple[int, int, str, str, list[str]]]:
         if cut and "@" not in cut.group():
             label, low = cut.group(1).lower(), low + cut.end()
             value = text[low:high]
-        lead = len(value) - len(value.lstrip("\"'<[{,;:*&$%#|"))
-        tail = len(value) - len(value.rstrip("\"'>]},;:.!?*&$%#|"))
-        if value.startswith("(") and ")" not in value:
-            lead = max(lead, 1)
-        if value.endswith(")") and "(" not in value:
-            tail = max(tail, 1)
-        low, high = low + lead, high - tail
-        value = text[low:high]
+        while value and (value[0] in "\"'<[{,;:*&$%#|" or value[0] == "(" and ")" not in value):
+            low, value = low + 1, value[1:]
+        while value and (value[-1] in "\"'>]},;:.!?*&$%#|" or value[-1] == ")" and "(" not in value):
+            high, value = high - 1, value[:-1]
         if not _MARK.search(value):
             continue
         left = _WORD.findall(text[max(0, low - 60) : low].lower())[-3:]
