@@ -6,7 +6,6 @@ import math
 from dataclasses import dataclass
 
 Token = str | bool | int | float
-_SAFE = (1 << 53) - 1
 
 
 class Query:
@@ -32,7 +31,7 @@ class Nothing(Query):
 
 @dataclass(frozen=True)
 class HasToken(Query):
-    values: tuple[Token, ...]
+    values: tuple[str | bool, ...]
     field: str | None = None
 
 
@@ -111,7 +110,12 @@ def all_() -> Query:
 
 def token(value: Token | list[Token], field: str | None = None) -> Query:
     """Any of the values is a term of the field (of the catch-all field if none is given). Values are not analysed."""
-    return HasToken(tuple(value) if isinstance(value, (list, tuple, set, frozenset)) else (value,), field)
+    values = tuple(value) if isinstance(value, (list, tuple, set, frozenset)) else (value,)
+    numbers = [number(v, field) for v in values if not isinstance(v, (str, bool))]
+    if not numbers:
+        return HasToken(values, field)
+    others = tuple(v for v in values if isinstance(v, (str, bool)))
+    return or_(*numbers, *([HasToken(others, field)] if others else []))
 
 
 def number(value: float, field: str | None = None) -> Query:

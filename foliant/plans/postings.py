@@ -1,4 +1,4 @@
-"""Queries over an inverted index: a table of (field, term, number, flag, _id), answered by joins of ids.
+"""Queries over an inverted index: a table of (field, term, number, flag, _id).
 
 This pays when terms are rare and documents large: the table is written sorted by field and term, so a lookup reads few row
 groups. A negation needs all ids. The results equal the scan's.
@@ -6,6 +6,9 @@ groups. A negation needs all ids. The results equal the scan's.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,55 +41,72 @@ def write(index: DataFrame, path: str) -> None:
 
 
 def matching(query: q.Query, index: DataFrame, universe: DataFrame) -> DataFrame:
-    """Distinct _id of the matching rows; universe has every _id."""
-    return _ids(q.simplify(query), index, universe.select("_id"))
-
+    """Distinct _id of the matching rows; universe has every _id.
+
+    One pass over the rows of all the terms that the query names, one aggregation by _id that says which of them each
+    id has, and the query itself as a condition on these flags. Ids without any of them are only looked at if they could match.
+    """
+    query = q.simplify(query)
+    leaves = list(dict.fromkeys(_leaves(query)))
+    flag = {leaf: f"p{k}" for k, leaf in enumerate(leaves)}
+    if not leaves:
+        return universe.select("_id").filter(_holds(query, {}))
+    tests = [_test(leaf) for leaf in leaves]
+    rows = index.filter(reduce(or_, tests)).select("_id", *[F.coalesce(t, F.lit(False)).alias(flag[leaf]) for t, leaf in zip(tests, leaves)])
+    found = rows.groupBy("_id").agg(*[F.bool_or(n).alias(n) for n in flag.values()])
+    if not _empty_matches(query):
+        return found.filter(_holds(query, {leaf: F.col(n) for leaf, n in flag.items()})).select("_id")
+    every = universe.select("_id").join(found, "_id", "left")
+    return every.filter(_holds(query, {leaf: F.coalesce(F.col(n), F.lit(False)) for leaf, n in flag.items()})).select("_id")
+
+
+def _leaves(x: q.Query) -> list[q.Query]:
+    if isinstance(x, (q.And, q.Or)):
+        return [y for p in x.parts for y in _leaves(p)]
+    if isinstance(x, (q.Not, q.Named)):
+        return _leaves(x.part)
+    return [] if isinstance(x, (q.All, q.Nothing)) else [x]
+
+
+def _holds(x: q.Query, flags: dict[q.Query, Column]) -> Column:
+    if isinstance(x, q.And):
+        return reduce(and_, [_holds(p, flags) for p in x.parts])
+    if isinstance(x, q.Or):
+        return reduce(or_, [_holds(p, flags) for p in x.parts])
+    if isinstance(x, q.Not):
+        return ~_holds(x.part, flags)
+    if isinstance(x, q.Named):
+        return _holds(x.part, flags)
+    return F.lit(isinstance(x, q.All)) if isinstance(x, (q.All, q.Nothing)) else flags[x]
 
-def _ids(x: q.Query, index: DataFrame, universe: DataFrame) -> DataFrame:
-    def look(name: str | None, c: Column) -> DataFrame:
-        name = ALL_FIELD if name is None or name == "£_ALL" else name
-        return index.filter((F.col("field") == name) & c).select("_id").distinct()
 
-    if isinstance(x, q.All):
-        return universe
-    if isinstance(x, q.Nothing):
-        return universe.filter(F.lit(False))
-    if isinstance(x, q.Named):
-        return _ids(x.part, index, universe)
-    if isinstance(x, q.HasToken):
-        strings = [v for v in x.values if isinstance(v, str)]
-        flags = [v for v in x.values if isinstance(v, bool)]
-        numbers = [int(v) for v in x.values if not isinstance(v, (str, bool))]
-        return look(x.field, F.coalesce(F.col("term").isin(strings), F.lit(False)) | F.coalesce(F.col("flag").isin(flags), F.lit(False)) | F.coalesce(F.col("number").isin(numbers), F.lit(False)))
-    if isinstance(x, q.HasNumber):
-        return look(x.field, F.col("number") == x.value)
-    if isinstance(x, q.InRange):
-        c = F.col("number").isNotNull()
-        c = c if x.low is None else c & (F.col("number") >= x.low)
-        return look(x.field, c if x.high is None else c & (F.col("number") <= x.high))
-    if isinstance(x, q.TokenRange):
-        c = F.col("term").isNotNull()
-        c = c if x.low is None else c & (F.col("term") >= x.low)
-        return look(x.field, c if x.high is None else c & (F.col("term") < x.high))
-    if isinstance(x, q.Present):
-        return look(x.field, F.col("term").isNull() & F.col("number").isNull() & F.col("flag").isNull())
-    if isinstance(x, q.Or):
-        out = _ids(x.parts[0], index, universe)
-        for p in x.parts[1:]:
-            out = out.union(_ids(p, index, universe))
-        return out.distinct()
+def _empty_matches(x: q.Query) -> bool:
+    """Whether a row with none of the terms matches."""
     if isinstance(x, q.And):
-        inner = [p for p in x.parts if not isinstance(p, q.Not)]
-        out = _ids(inner[0], index, universe) if inner else universe
-        for p in inner[1:]:
-            out = out.join(_ids(p, index, universe), "_id", "left_semi")
-        for p in x.parts:
-            if isinstance(p, q.Not):
-                out = out.join(_ids(p.part, index, universe), "_id", "left_anti")
-        return out
+        return all(map(_empty_matches, x.parts))
+    if isinstance(x, q.Or):
+        return any(map(_empty_matches, x.parts))
     if isinstance(x, q.Not):
-        return universe.join(_ids(x.part, index, universe), "_id", "left_anti")
-    raise ValueError(f"postings can't answer {type(x).__name__}; scan instead")
+        return not _empty_matches(x.part)
+    return _empty_matches(x.part) if isinstance(x, q.Named) else isinstance(x, q.All)
+
+
+def _test(x: q.Query) -> Column:
+    """Which rows of the index a leaf looks for."""
+    name = ALL_FIELD if x.field is None or x.field == "£_ALL" else x.field
+    if isinstance(x, q.HasToken):
+        kinds = {"term": [v for v in x.values if isinstance(v, str)], "flag": [v for v in x.values if isinstance(v, bool)]}
+        c = reduce(or_, [F.coalesce(F.col(k).isin(v), F.lit(False)) for k, v in kinds.items() if v], F.lit(False))
+    elif isinstance(x, q.HasNumber):
+        c = F.col("number") == x.value
+    elif isinstance(x, (q.InRange, q.TokenRange)):
+        v = F.col("number" if isinstance(x, q.InRange) else "term")
+        c = reduce(and_, [v.isNotNull()] + ([v >= x.low] if x.low is not None else []) + ([v <= x.high if isinstance(x, q.InRange) else v < x.high] if x.high is not None else []))
+    elif isinstance(x, q.Present):
+        c = F.col("term").isNull() & F.col("number").isNull() & F.col("flag").isNull()
+    else:
+        raise ValueError(f"postings can't answer {type(x).__name__}; scan instead")
+    return (F.col("field") == name) & c
 
 
 def vocabulary(df: DataFrame, fields: Fields, name: str) -> DataFrame:

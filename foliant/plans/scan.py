@@ -53,7 +53,6 @@ def _condition(x: q.Query, f: Fields) -> Column:
 def has_token(x: q.HasToken, f: Fields) -> Column:
     strings = [v for v in x.values if isinstance(v, str)]
     booleans = [v for v in x.values if isinstance(v, bool)]
-    numbers = [v for v in x.values if not isinstance(v, (str, bool))]
     parts: list[Column] = []
     single = None if f.is_all(x.field) else f.scalar(x.field)
     config = None if f.is_all(x.field) else f.config.of(x.field)
@@ -72,7 +71,6 @@ def has_token(x: q.HasToken, f: Fields) -> Column:
             parts.append(single.column == b)
         else:
             parts.append(F.array_contains(f.values(x.field, "b"), b))
-    parts += [in_range(x.field, n, n, f) for n in map(int, numbers)]
     return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 

@@ -187,3 +187,11 @@ def test_matches_equal_terms(spark):
             if quick is not None:
                 both = df.select(F.coalesce(quick, F.lit(False)), F.coalesce(F.array_contains(make(F.col("t")), term), F.lit(False))).collect()
                 assert [r[0] for r in both] == [r[1] for r in both], term
+
+
+def test_numbers_among_tokens(spark):
+    df = spark.createDataFrame([(0, True, 1), (1, False, 0), (2, None, 5)], "id long, b boolean, n int")
+    c = Collection.of(df, "id", IndexConfig(default=FieldConfig()))
+    got = lambda x: sorted(r._id for r in c.query(x).collect())
+    assert got(q.token([5, 1.5], "n")) == [0, 2] and got(q.token(True, "b")) == [0] and got(q.token([True, 1], "b")) == [0]
+    assert got(q.and_(q.token(True, "b"), q.token(1, "n"))) == [0] and got(q.token([], "b")) == []
