@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, chunks, hashed_words, in_arrow, ragged, table
+from .shared import Scratch, chunks, hashed_words, in_arrow, ragged, spread, table
 
 BITS = 15
 TERMS = 1 << BITS
@@ -62,7 +62,7 @@ def term_table(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "terms"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    return in_arrow(rows, run, "doc_id long, terms binary").filter(F.length("terms") > 0)
+    return in_arrow(spread(rows), run, "doc_id long, terms binary").filter(F.length("terms") > 0)
 
 
 def texts(b: pa.RecordBatch) -> list[np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, chunks, in_arrow, table
+from .shared import bounded_sample, chunks, in_arrow, spread, table
 
 D = 4096
 ORDERS = (1, 2, 3)
@@ -194,7 +194,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.string()), pa.array(loss, pa.float64()), pa.array(margin, pa.float64()), pa.array(unsure)], names=["doc_id", "language", "loss", "margin", "ambiguous"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_arrow(rows, run, "doc_id long, language string, loss double, margin double, ambiguous boolean")
+    return in_arrow(spread(rows), run, "doc_id long, language string, loss double, margin double, ambiguous boolean")
 
 
 def identified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

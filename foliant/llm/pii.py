@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, in_arrow, table
+from .shared import Scratch, in_arrow, spread, table
 
 ROUNDS = 3
 CAUTION = 2.0
@@ -172,7 +172,7 @@ def instance_table(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "end", "value", "seed", "patterns"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    return in_arrow(rows, run, "doc_id long, start long, end long, value string, seed string, patterns array<string>")
+    return in_arrow(spread(rows), run, "doc_id long, start long, end long, value string, seed string, patterns array<string>")
 
 
 def scores(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:

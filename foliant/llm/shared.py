@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least half as many partitions as there are cores; a table in a few small files is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with this package at hand in the workers."""
     ship(df.sparkSession)

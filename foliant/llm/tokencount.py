@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, in_arrow, table
+from .shared import Words, in_arrow, spread, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -92,7 +92,7 @@ def token_counts(texts: DataFrame, key: str, path: str = VOCABULARY, pattern: st
             yield pa.RecordBatch.from_arrays([b.column(0), size, out], names=[key, "bytes", "tokens"])
 
     rows = texts.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
-    return in_arrow(rows, run, f"`{key}` long, bytes long, tokens long")
+    return in_arrow(spread(rows), run, f"`{key}` long, bytes long, tokens long")
 
 
 def counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

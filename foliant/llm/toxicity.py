@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, bounded_sample, chunks, hash32, in_arrow, numbers, pieces, table, word
+from .shared import Words, bounded_sample, chunks, hash32, in_arrow, numbers, pieces, spread, table, word
 
 PARTS = 3
 
@@ -308,7 +308,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float64), mask=none), pa.array(t), pa.array(np.where(none, False, s >= t))], names=["doc_id", "lang", "score", "threshold", "toxic"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return in_arrow(rows, run, "doc_id long, lang string, score double, threshold double, toxic boolean")
+    return in_arrow(spread(rows), run, "doc_id long, lang string, score double, threshold double, toxic boolean")
 
 
 def reject_toxic(documents: DataFrame, model: Model) -> DataFrame:
@@ -327,7 +327,7 @@ def reject_toxic(documents: DataFrame, model: Model) -> DataFrame:
                 t = np.array([limits.get(x, limits[None]) for x in b.column(lang).to_pylist()])
                 yield b.filter(pa.array(~(np.nan_to_num(s, nan=-1.0) >= t)))
 
-    return in_arrow(documents, run, schema)
+    return in_arrow(spread(documents), run, schema)
 
 
 def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
