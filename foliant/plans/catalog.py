@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 
 from ..config import FieldConfig, Flag, IndexConfig
 from ..functions.analyzers import STOP_WORDS, lexer, lowered, standard, stopped
+from ..functions.flatten import open_fields
 from ..operators import aggregate as a
 from ..operators.collection import Collection
-from ..operators.query import Query, all_, and_, contains, named, not_, number, number_range, or_, present, token, token_range
+from ..operators.fields import OpenFields
+from ..operators.query import Groups, Query, all_, and_, contains, named, not_, number, number_range, or_, present, token, token_range
+from ..sources.folder import own_folder
+from ..sources.store import Index
 from .sorting import desc
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -301,9 +306,6 @@ def last_name_join(spark: SparkSession, d: str) -> DataFrame:
 @query("open_documents", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE floor(value) >= 5 AND floor(value) < 9 GROUP BY 1")
 def open_documents(spark: SparkSession, d: str) -> DataFrame:
     """Events as JSON documents without a schema, flattened, queried and grouped."""
-    from ..functions.flatten import open_fields
-    from ..operators.fields import OpenFields
-
     rows = table(spark, d, "events").select(F.col("event_id").alias("_id"), F.concat(F.lit('{"value":'), F.col("value").cast("string"), F.lit(',"props":'), F.col("props"), F.lit("}")).alias("_source"))
     c = Collection(open_fields(rows), OpenFields(["value", "props.k"], IndexConfig(default=PLAIN)))
     return c.aggregate(number_range("value", 5, 9), [a.group_by("props.k", [a.count("n")], "k")])[0]
@@ -312,8 +314,6 @@ def open_documents(spark: SparkSession, d: str) -> DataFrame:
 def _streamed(name: str, only: str | None, sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         """Events as a stream of files, filtered as rows arrive; what came is read back from the sink."""
-        import uuid
-
         schema = table(spark, d, "events").schema
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
         c = Collection.of(stream, "event_id", IndexConfig(default=PLAIN))
@@ -353,3 +353,53 @@ def group_key_view(spark: SparkSession, d: str) -> DataFrame:
     view = a.nested(flat, ["user_id"])
     n = F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + g["n"])
     return view.select("user_id", F.size("groups").cast("long").alias("kinds"), n.alias("n"))
+
+
+# ---- nested documents, single rows, storage
+
+
+@query("nested_paths", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'user') AND bool_or(turn >= 3)")
+def nested_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents with an array of turns, found by what any of the turns holds."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
+    c = Collection.of(turns, "conv_id", IndexConfig(default=PLAIN))
+    return ids(c.query(and_(token("user", "turns.role"), number_range("turns.turn", 3)), projection=[]), "conv_id")
+
+
+@query("single_document", "SELECT doc_id, lang, source FROM documents WHERE doc_id = 7")
+def single_document(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).document(7, ["lang", "source"]).withColumnRenamed("_id", "doc_id")
+
+
+@query("sort_first_element", "SELECT vec_id FROM embeddings ORDER BY embedding[1] DESC, vec_id LIMIT 20")
+def sort_first_element(spark: SparkSession, d: str) -> DataFrame:
+    return ids(plain(spark, d, "embeddings", "vec_id").query(all_(), [desc("embedding")], 20, []), "vec_id")
+
+
+@query("agg_nothing", "SELECT 0::BIGINT AS n, TRUE AS none")
+def agg_nothing(spark: SparkSession, d: str) -> DataFrame:
+    out = documents(spark, d).aggregate(token("no such term", "lang"), [a.count("n"), a.first(["n_chars"], [], "f")])[0]
+    return out.select("n", F.col("f").isNull().alias("none"))
+
+
+@query("lexer_rules", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(url, '[0-9]+|[a-z]+')) AS w FROM pages) WHERE NOT regexp_full_match(w, '[0-9]+') GROUP BY w")
+def lexer_rules(spark: SparkSession, d: str) -> DataFrame:
+    lex = lexer([("NUMBER", "[0-9]+"), ("TOKEN", "[a-z]+")])
+    return table(spark, d, "pages").select(F.explode(lex(F.col("url"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sum_of_groups", "SELECT sum(n)::BIGINT AS n, count(*) AS groups FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE floor(o_totalprice) BETWEEN 1000 AND 99999 GROUP BY ALL)")
+def sum_of_groups(spark: SparkSession, d: str) -> DataFrame:
+    g = a.group_by("o_orderstatus", [a.group_by("o_orderpriority", [a.count("n")])])
+    flat = plain(spark, d, "orders", "o_orderkey").aggregate(number_range("o_totalprice", 1000, 99999, high_included=True), [g])[0]
+    return flat.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+
+
+@query("store_snapshot", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND turn <> 0")
+def store_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """An index on storage: rows added as JSON documents, some deleted, the rest queried from a snapshot."""
+    index = Index(spark, own_folder(spark), IndexConfig(default=PLAIN))
+    index.add(table(spark, d, "conversations"))
+    index.delete(index.query(number(0, "turn"), projection=[]))
+    found = index.query(token("user", "role"))
+    return found.select(*[F.get_json_object("_source", f"$.{n}").cast("long").alias(n) for n in ("conv_id", "turn")])

@@ -71,8 +71,9 @@ class Index:
         staged = self.spark.read.schema("_source string, _at long").parquet(stage)
         part = F.shiftright("_at", 33)
         sizes = staged.groupBy(part.alias("part")).agg((F.max("_at") - F.min("_at") + 1).alias("size"))
-        before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")  # a row for each partition
-        dense = staged.withColumn("part", part).join(before, "part").withColumn("_id", F.lit(start) + F.col("before") + F.col("_at") - F.shiftleft("part", 33))
+        before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")
+        # a row of two numbers for each partition that wrote: small whatever the documents, and a join by it would be skewed
+        dense = staged.withColumn("part", part).join(F.broadcast(before), "part").withColumn("_id", F.lit(start) + F.col("before") + F.col("_at") - F.shiftleft("part", 33))
         docs = open_fields(self._generated(dense.select("_id", "_source"))).drop(MADE)
         docs.write.mode("overwrite").parquet(f"{self.path}/docs/commit_id={number}")
         written = self.spark.read.schema(docs.schema).parquet(f"{self.path}/docs/commit_id={number}")
