@@ -10,14 +10,13 @@ from foliant.plans.sorting import desc
 from foliant.sources.store import Index
 from foliant.streaming import live
 
-CORPUS = [
-    {"id": "12", "text": "lorem ipsum", "token_data": "abc", "number_data": 20, "number_data_opt_sort": 20, "unknown_data": "ufg about test"},
-    {"id": "13", "text": "dolor", "token_data": "efg", "number_data": 30, "number_data_opt_sort": 30},
-    {"id": "14", "text": "this is a demo", "token_data": ["abc", "bcd"], "number_data": 25, "number_data_opt_sort": 25},
-    {"id": "15", "text": "and it is working", "token_data": "hij", "number_data": 10000000, "number_data_opt_sort": 10000000},
-]
-CONFIG = IndexConfig({"id": FieldConfig(Flag.STORED), "text": FieldConfig(in_all=False), "token_data": FieldConfig(), "number_data": FieldConfig(), "number_data_opt_sort": FieldConfig(Flag.SORTED)})
+def made(key, text, tokens, n, **more):
+    return {"id": key, "text": text, T: tokens, N: n, S: n, **more}
+
+
 T, N, S = "token_data", "number_data", "number_data_opt_sort"
+CORPUS = [made("12", "lorem ipsum", "abc", 20, unknown_data="ufg about test"), made("13", "dolor", "efg", 30), made("14", "this is a demo", ["abc", "bcd"], 25), made("15", "and it is working", "hij", 10**7)]
+CONFIG = IndexConfig({"id": FieldConfig(Flag.STORED), "text": FieldConfig(in_all=False), "token_data": FieldConfig(), "number_data": FieldConfig(), "number_data_opt_sort": FieldConfig(Flag.SORTED)})
 ABC, EFG, BCD = token("abc", T), token("efg", T), token("bcd", T)
 TOP = (1 << 53) - 1
 
