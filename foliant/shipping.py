@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
         return
     _sent.add(context.applicationId)
     here = Path(__file__).parent
-    to = Path(tempfile.mkdtemp(prefix="foliant-code-")) / "foliant.zip"
+    folder = tempfile.mkdtemp(prefix="foliant-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    to = Path(folder) / "foliant.zip"
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))
