@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from ..sources.folder import own_folder
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SPACE = re.compile(r"\s")
@@ -30,18 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     Where that is unset, a local session gets a temporary folder of its own; on a cluster that is an error,
     since executors could not read each other's files there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"
+    return own_folder(spark)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """df in at least half as many partitions as there are cores; a table in a few small files is dealt out first."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # it has partitions of its own, and counting them would run it
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
 
 
