@@ -8,8 +8,12 @@ block longer than the piece. Windows of cosine COSINE or more are checked by the
 item: a share of VERBATIM of the item's words in order is a leak; from PARAPHRASE on it is one if most of the item's
 answer (its last ANSWER words that aren't stop terms) also stands there.
 
+Cosines follow the rare words, so an item whose rare words were replaced would be missed. Therefore every stretch of
+twice an item's words that holds a share PARAPHRASE of its places is checked too, whatever its cosine. No common subsequence
+can be longer than that, so nothing that the check would find is lost.
+
 What the driver holds is 2**BITS x RANK numbers, whatever the corpus, and the benchmark; items go to the executors in
-slices of SLICE pieces, so the broadcast is bounded too. Every step is linear in the documents.
+slices of SLICE, so the broadcast is bounded too. Every step is linear in the documents.
 
 Defined results: null or empty texts, null doc_ids and null item_ids match nothing. Items under SHORTEST words are not
 searched for. An item of several pieces is compared piece by piece and checked as a whole. Repeated documents and items
@@ -40,7 +44,9 @@ ANSWER, ANSWER_SHARE = 8, 0.75
 SHORTEST = 5
 COMMON = 0.005
 TELLING = 5
-SLICE = 50_000
+SLICE = 1024
+LANES = 256  # pieces whose places are looked up at once
+STRETCH = 512  # blocks looked at at once
 SEED = 11
 TEAM = 512  # tasks whose blocks of the matrix product are added up first
 
@@ -74,13 +80,10 @@ def frequencies(terms: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TERMS + 1, np.int64)
-        flags = np.zeros(TERMS, bool)
         for batch in batches:
             for b in chunks(batch, "terms"):
                 for d in texts(b):
-                    flags[d] = True
-                    total[:-1] += flags
-                    flags[d] = False
+                    total[np.unique(d)] += 1
                 total[-1] += b.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["term", "n"])
@@ -222,6 +225,76 @@ class Item:
         return bool(n >= PARAPHRASE * self.n and self.answer and there >= ANSWER_SHARE * len(self.answer)), n
 
 
+class Places:
+    """Which places of some items each word takes, as one bit of a 64-bit lane for each place."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], numbers: np.ndarray):
+        self.numbers = numbers[np.argsort([len(items[k][1]) for k in numbers], kind="stable")]  # those of one reach side by side
+        words = [items[k][1] for k in self.numbers]
+        self.n = np.array([len(x) for x in words])
+        self.lane = np.append(0, np.cumsum(-(-self.n // 64)))
+        self.reach = -(-(2 * self.n + 2 * BLOCK) // BLOCK) + 1  # in blocks, from every other block on
+        vocabulary = np.unique(np.concatenate(words))
+        self.row = np.zeros(TERMS, np.int32)
+        self.row[vocabulary] = 1 + np.arange(len(vocabulary))
+        self.table = np.zeros((1 + len(vocabulary), self.lane[-1]), np.uint64)
+        for first, x in zip(self.lane, words):
+            k = np.arange(len(x))
+            np.bitwise_or.at(self.table, (self.row[x], first + k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
+
+    def stretches(self, rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Reach, blocks and items of all stretches that hold PARAPHRASE of an item's places."""
+        lengths = np.diff(starts)
+        doc, first, k = blocks(lengths, BLOCK)
+        total = (-(-lengths // BLOCK))[doc]
+        at = first[:, None] + np.arange(BLOCK)
+        each = np.where(at < starts[1:][doc][:, None], rows[np.minimum(at, len(rows) - 1)], 0)
+        most, least = int(self.reach.max()), np.ceil(PARAPHRASE * self.n - 1e-9).astype(np.int64)
+        reaches, begin = np.unique(self.reach, return_index=True)
+        for low in range(0, len(doc), STRETCH):
+            part = each[low : low + STRETCH + most]
+            m = np.zeros((STRETCH + most, self.table.shape[1]), np.uint64)
+            here = m[: len(part)]
+            for j in range(BLOCK):
+                here |= self.table[part[:, j]]
+            ks, totals = k[low : low + STRETCH], total[low : low + STRETCH]
+            for r, b, e in zip(reaches, begin, np.append(begin[1:], len(self.n))):
+                some = np.flatnonzero((ks % 2 == 0) & (ks < np.maximum(totals - r + 2, 1)))
+                x, size = m[:, self.lane[b] : self.lane[e]], 1
+                while 2 * size <= r:
+                    x, size = x[:-size] | x[size:], 2 * size
+                held = np.bitwise_count(x[some] | x[some + r - size])
+                if self.lane[e] - self.lane[b] > e - b:
+                    held = np.add.reduceat(held, self.lane[b:e] - self.lane[b], axis=1, dtype=np.int64)
+                i, c = np.nonzero(held >= least[b:e])
+                if len(i):
+                    yield int(r), low + some[i], b + c
+
+    def common(self, rows: np.ndarray, first: np.ndarray, stop: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Longest common subsequences of stretches of words with items of one lane."""
+        lane, one = self.lane[item], ~np.uint64(0)
+        v = np.full(len(item), one)
+        for step in range(int((stop - first).max())):
+            at = first + step
+            u = v & self.table[np.where(at < stop, rows[np.minimum(at, len(rows) - 1)], 0), lane]
+            v = (v + u) | (v - u)
+        n = self.n[item]
+        return n - np.bitwise_count(v & (one >> (64 - n).astype(np.uint64))).astype(np.int64)
+
+    def found(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Document, item's number, first and last word, and common words, -1 if not counted, of all stretches to check."""
+        if not len(ids):
+            return
+        rows = self.row[ids]
+        doc, first, _ = blocks(np.diff(starts), BLOCK)
+        for r, i, c in self.stretches(rows, starts):
+            a = first[i]
+            z = np.minimum(a + r * BLOCK, starts[1:][doc[i]])
+            n = self.common(rows, a, z, c) if self.n[c].max() <= 64 else np.full(len(c), -1)
+            some = np.flatnonzero((n >= PARAPHRASE * self.n[c]) | (n < 0))
+            yield from zip(doc[i[some]].tolist(), self.numbers[c[some]].tolist(), a[some].tolist(), z[some].tolist(), n[some].tolist())
+
+
 def item_pieces(items: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
     """(number of the item, terms) of pieces of at most PASSAGE words."""
     out = []
@@ -251,6 +324,25 @@ def search(terms: DataFrame, items: list[tuple[int, np.ndarray]], latent: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, latent, w, vectors, sizes, owner = shared.value
         ready: dict[int, Item] = {}
+        groups: list[Places] = []
+        held = np.cumsum([-(-len(x) // 64) for _, x in items])
+        for g in np.unique((held - 1) // LANES):
+            groups.append(Places(items, np.flatnonzero((held - 1) // LANES == g)))
+
+        def ready_item(number: int) -> Item:
+            if number not in ready:
+                ready[number] = Item(*items[number], w)
+            return ready[number]
+
+        def closest(words: np.ndarray, number: int) -> float:
+            """Greatest cosine of an item's piece with a window of the words."""
+            s = latent[words] * (w[words] > 0)[:, None]
+            total = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s, 0, dtype=np.float64)])
+            best = -1.0
+            for piece in np.flatnonzero(owner == number):
+                size = min(int(sizes[piece]) * BLOCK, len(words))
+                best = max(best, float((unit(total[size:] - total[:-size]) @ vectors[piece]).max()))
+            return best
         gap = int(sizes.max()) - 1
 
         def read(b: pa.RecordBatch) -> Iterator[tuple[int, int, float, int, int]]:
@@ -281,14 +373,24 @@ def search(terms: DataFrame, items: list[tuple[int, np.ndarray]], latent: np.nda
                 pair = (int(doc[r[i]]), int(it[i]))
                 if pair in done:
                     continue
-                if (item := ready.get(pair[1])) is None:
-                    item = ready[pair[1]] = Item(*items[pair[1]], w)
+                item = ready_item(pair[1])
                 d, at = docs[pair[0]], int(k[r[i]]) * BLOCK
                 around = d[max(0, at - item.n // 2) : at + max(int(n[i]) * BLOCK, item.n) + item.n // 2].tolist()
                 leak, common = item.found(around, set(around))
                 if leak:
                     done.add(pair)
                     yield b.column(0)[pair[0]].as_py(), item.item_id, float(cos[i]), common, item.n
+            for g in groups:
+                for d, number, first_word, end, common in g.found(ids, starts):
+                    if (d, number) in done:
+                        continue
+                    item, words = ready_item(number), ids[first_word:end]
+                    leak = common >= VERBATIM * item.n
+                    if not leak:
+                        leak, common = item.found(words.tolist(), set(words.tolist()))
+                    if leak:
+                        done.add((d, number))
+                        yield b.column(0)[d].as_py(), item.item_id, closest(words, number), common, item.n
 
         for batch in batches:
             for b in chunks(batch, "terms"):

@@ -136,6 +136,39 @@ def test_leaks_and_paraphrases(spark):
     assert {(x.doc_id, x.item_id) for x in got} == truth
 
 
+def test_leaks_whose_content_words_are_replaced(spark):
+    """Equals a brute-force join of all stretches of documents with all items, also of more than one lane."""
+    r = random.Random(4)
+    ordinary = sorted({nasty.prose(9000 + k, 1) for k in range(400)})
+
+    def text(n, name):
+        return [f"{name}x{i}" if r.random() < 0.25 else r.choice(ordinary) for i in range(n)]
+
+    items = {k: text(n, f"i{k}") for k, n in enumerate([16, 24, 40, 40, 64, 65, 150])}
+    docs = {k: text(r.randint(0, 250), f"d{k}") for k in range(300)}
+    truth = set()
+    for k, words in items.items():
+        changed = [f"new{i}" if "x" in w else w for i, w in enumerate(words)]
+        kept = sum(a == b for a, b in zip(words, changed))
+        changed = [b if kept >= 0.7 * len(words) or i % 3 else a for i, (a, b) in enumerate(zip(words, changed))]
+        at = r.randint(0, len(docs[k]))
+        docs[k] = docs[k][:at] + changed + docs[k][at:]
+        truth.add((k, k))
+    w = np.ones(decontam.TERMS, np.float32)
+    hashed = {k: decontam.terms_of([" ".join(x)])[0] for k, x in docs.items()}
+    brute = set()
+    for j, x in items.items():
+        item = decontam.Item(j, decontam.terms_of([" ".join(x)])[0], w)
+        for k, ids in hashed.items():
+            for at in range(0, max(1, len(ids) - 2 * item.n + 1)):
+                if item.common(ids[at : at + 2 * item.n].tolist()) >= decontam.VERBATIM * item.n:
+                    brute.add((k, j))
+                    break
+    assert truth == brute
+    got = decontam.leaks(spark.createDataFrame([(k, " ".join(x)) for k, x in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == brute
+
+
 def test_latent_vectors_keep_angles():
     """With fewer passages than the rank, the map keeps the cosines of the weighted passages."""
     r = np.random.default_rng(0)
