@@ -80,6 +80,15 @@ def test_near_duplicates_equal_brute_force(spark):
         assert any(jaccard(sets[i], sets[j]) >= 0.4 for j, h in got.items() if h == g and j != i)
 
 
+def test_documents_with_one_shared_passage_all_stay(spark):
+    shared = nasty.prose(77, 60)
+    r = random.Random(3)
+    texts = [(k, shared + " " + " ".join(f"d{k}n{r.randint(0, 10**9)}" for _ in range(42))) for k in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert neardup.near_duplicates(docs).collect() == []
+    assert neardup.drop_near_duplicates(docs).count() == 600
+
+
 def test_likeness_estimates_jaccard():
     r = random.Random(9)
     words = [f"w{r.randint(0, 10**9)}" for _ in range(400)]
