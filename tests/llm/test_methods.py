@@ -89,6 +89,22 @@ def test_documents_with_one_shared_passage_all_stay(spark):
     assert neardup.drop_near_duplicates(docs).count() == 600
 
 
+def test_pairs_near_the_threshold_are_found(spark):
+    r = random.Random(13)
+    texts, pairs = [], []
+    for k in range(400):
+        words = [f"p{k}n{i}" for i in range(102)]
+        edge = r.randint(28, 34)  # similarity 0.5 to 0.58
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[edge:] + [f"q{k}n{i}" for i in range(edge)]))]
+    sets = {i: set(neardup.shingles(*hashed_words([t]))[0].tolist()) for i, t in texts}
+    pairs = [(2 * k, 2 * k + 1) for k in range(400) if jaccard(sets[2 * k], sets[2 * k + 1]) >= neardup.THRESHOLD]
+    got = {x.doc_id: x.group_id for x in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert len(pairs) > 300
+    assert sum(got.get(a, -1) == got.get(b, -2) for a, b in pairs) >= 0.9 * len(pairs)
+    for i, g in got.items():
+        assert any(jaccard(sets[i], sets[j]) >= neardup.THRESHOLD for j, h in got.items() if h == g and j != i)
+
+
 def test_likeness_estimates_jaccard():
     r = random.Random(9)
     words = [f"w{r.randint(0, 10**9)}" for _ in range(400)]
