@@ -1,6 +1,6 @@
 """Personal identifiers by bootstrapped contextual extraction.
 
-Every string between white space that holds a digit or an at sign is an instance (a telephone number's parts are joined).
+Every string between white space and delimiters such as commas, quotes and brackets that holds a digit or an at sign is an instance (a telephone number's parts are joined).
 Checked forms - addresses, card numbers with a right check digit, and so on - are the seeds of their types. Instances have
 lexical patterns: their own shape, the words on either side, the word before a colon or equals sign. Spark scores the graph
 of patterns and instance values in rounds: a pattern's confidence in a type is the scores of its values over their number
@@ -10,7 +10,7 @@ that the seeds suggest find identifiers that no check knows, and the forms of ve
 The graph holds instances only, a small part of the corpus; each round is two joins and two aggregations with map-side
 sums, so a shape that millions of values share is no bottleneck, and every round's scores are written.
 
-Defined results: null and empty texts, and rows with a null doc_id, give nothing. An instance over LONGEST characters is left out, as
+Defined results: null and empty texts, and rows with a null doc_id, give nothing. An instance over LONGEST characters after cutting is left out, as
 no identifier is that long, whereas texts of any length are searched to their end. Repeated documents give a row each.
 A value of several types gets the one of best score, of equals the first by name. Other columns are not read.
 """
@@ -34,6 +34,7 @@ LONGEST = 200
 
 _MARK = re.compile(r"[@0-9]")
 _SPACE = re.compile(r"\s")
+_CUT = re.compile(r"""[,;|"<>&{}\[\]?]|=(?=[^\s=])|\((?!\d{2,4}\))|(?<!\(\d{2})(?<!\(\d{3})(?<!\(\d{4})\)""")  # not around an area code
 _NUMERIC = re.compile(r"[0-9()+./\-]+")
 _RUN = re.compile(r"[0-9]+|[a-zà-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+|[^\W\d_]+|.", re.S)
 _WORD = re.compile(r"[\w@=:+#]+")
@@ -106,8 +107,13 @@ def instances(text: str) -> Iterator[tuple[int, int, str, str, list[str]]]:
             low -= 1
         end = _SPACE.search(text, p)
         high = end.start() if end else len(text)
-        spans.append((low, high))
         at = high
+        for cut in _CUT.finditer(text, low, high):
+            if _MARK.search(text, low, cut.start()):
+                spans.append((low, cut.start()))
+            low = cut.end()
+        if _MARK.search(text, low, high):
+            spans.append((low, high))
     k = 0
     while k < len(spans):
         low, high = spans[k]

@@ -282,6 +282,17 @@ def test_instances_are_cut_well():
     assert [(v, label) for _, _, v, label, _ in pii.instances(text)] == [("+1 (456) 555-2186", ""), ("x.y@z.example.com", ""), ("ab12cd34ef56gh", "password"), ("0123456789abcdef", "token"), ("4.0", "")]
 
 
+def test_identifiers_in_runs_without_white_space(spark):
+    mails = [f"ana{k}@mail.example.org" for k in range(400)]
+    texts = [",".join(mails), "{" + ",".join(f'"email":"{m}"' for m in mails) + "}", "/q?" + "&".join(f"email={m}" for m in mails), "a@b.example.com,c@d.example.com;4111111111111111", "f(e@f.example.com)(415)555-2671 x-1=g@h.example.com"]
+    assert len(texts[1]) > 10_000
+    got = pii.identifiers(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {(x.doc_id, x.value) for x in got}
+    assert {(k, m) for k in range(3) for m in mails} | {(3, "a@b.example.com"), (3, "c@d.example.com"), (3, "4111111111111111")} | {(4, "e@f.example.com"), (4, "g@h.example.com")} <= found
+    for x in got:
+        assert texts[x.doc_id][x.start : x.end] == x.value
+
+
 # ---- language
 
 
