@@ -3,8 +3,8 @@
 Words are hashed to 2**BITS terms. One pass writes each document as its terms, one counts document frequencies, one gives
 the randomised range of the TF-IDF matrix of all passages of all documents (the Gram matrix times a Gaussian block, summed
 by Spark), of which the driver takes the leading singular vectors (Nystrom form, so no further pass). The last pass maps
-windows of every document to latent vectors and compares them with each piece of each benchmark item, the windows being a
-block longer than the piece. Windows of cosine COSINE or more are checked by the longest common subsequence with the
+windows of every document, one from every other block on, to latent vectors and compares them with each piece of each
+benchmark item, the windows being a block longer than the piece. Windows of cosine COSINE or more are checked by the longest common subsequence with the
 item: a share of VERBATIM of the item's words in order is a leak; from PARAPHRASE on it is one if most of the item's
 answer (its last ANSWER words that aren't stop terms) also stands there.
 
@@ -12,11 +12,14 @@ Cosines follow the rare words, so an item whose rare words were replaced would b
 twice an item's words that holds a share PARAPHRASE of its places is checked too, whatever its cosine. No common subsequence
 can be longer than that, so nothing that the check would find is lost.
 
-What the driver holds is 2**BITS x RANK numbers, whatever the corpus, and the benchmark; items go to the executors in
-slices of SLICE, so the broadcast is bounded too. Every step is linear in the documents.
+Items of fewer than SHORT words leave too little for shares of words: a document holds one if all its words follow each
+other there, by 32 bits of each word.
 
-Defined results: null or empty texts, null doc_ids and null item_ids match nothing. Items under SHORTEST words are not
-searched for. An item of several pieces is compared piece by piece and checked as a whole. Repeated documents and items
+What the driver holds is 2**BITS x RANK numbers, whatever the corpus, and one slice of the benchmark at a time; slices are
+of at most SLICE items and SLICE_WORDS words (or one item), so the broadcast is bounded too. Every step is linear in the
+documents.
+
+Defined results: null or wordless texts, null doc_ids and null item_ids match nothing. An item of several pieces is compared piece by piece and checked as a whole. Repeated documents and items
 give one row for each pair of ids. Other columns are not read.
 """
 
@@ -37,24 +40,32 @@ TERMS = 1 << BITS
 RANK, EXTRA = 96, 16
 BLOCK = 8
 PASSAGE = 64  # words of a passage of the matrix, and of the longest piece of an item
-COARSE = 5  # from so many blocks on, windows start at every other block
 COSINE = 0.4
 VERBATIM, PARAPHRASE = 0.7, 0.55
 ANSWER, ANSWER_SHARE = 8, 0.75
-SHORTEST = 5
+SHORT = 5
 COMMON = 0.005
 TELLING = 5
-SLICE = 1024
+SLICE, SLICE_WORDS = 1024, 1 << 18
 LANES = 256  # pieces whose places are looked up at once
 STRETCH = 512  # blocks looked at at once
 SEED = 11
+LEAKS = "doc_id long, item_id long, cosine double, common long, words long"
 TEAM = 512  # tasks whose blocks of the matrix product are added up first
 
 
 def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The term of every word, and where each text's start."""
     h, starts = hashed_words(texts)
-    return (1 + h % np.uint32(TERMS - 1)).astype(np.uint16), starts
+    return folded(h), starts
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    return (1 + words % np.uint32(TERMS - 1)).astype(np.uint16)
+
+
+def worded(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
 
 def term_table(documents: DataFrame) -> DataFrame:
@@ -67,8 +78,43 @@ def term_table(documents: DataFrame) -> DataFrame:
                 rows = [ids[i:j].tobytes() for i, j in zip(starts, starts[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "terms"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    return in_arrow(spread(rows), run, "doc_id long, terms binary").filter(F.length("terms") > 0)
+    return in_arrow(spread(worded(documents)), run, "doc_id long, terms binary").filter(F.length("terms") > 0)
+
+
+def phrases(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """One number for the n words from each place on; 0 where a text ends before."""
+    h = np.zeros(len(words), np.uint64)
+    for j in range(n):
+        h[: len(words) - j] = (h[: len(words) - j] ^ words[j:]) * np.uint64(0x9E3779B97F4A7C15)
+        h[: len(words) - j] ^= h[: len(words) - j] >> np.uint64(31)
+    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(words))
+    h[left < n] = 0
+    return h
+
+
+def short_leaks(documents: DataFrame, items: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """Leaks of short items, given as (item_id, 32 bits of each word): the whole of their words in a row."""
+    shared = documents.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: dict[int, dict[int, list[int]]] = {}
+        for item_id, words in shared.value:
+            h = int(phrases(words, np.array([0, len(words)]), len(words))[0])
+            wanted.setdefault(len(words), {}).setdefault(h, []).append(item_id)
+        for batch in batches:
+            for b in chunks(batch):
+                words, starts = hashed_words(b.column(1).to_pylist())
+                rows = set()
+                for n, by in wanted.items():
+                    h = phrases(words, starts, n)
+                    for at in np.flatnonzero(np.isin(h, np.array(list(by), np.uint64))):
+                        d = int(np.searchsorted(starts, at, "right")) - 1
+                        rows.update((b.column(0)[d].as_py(), i, n) for i in by[int(h[at])])
+                if rows:
+                    ids, which, n = zip(*sorted(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(which), pa.array(np.ones(len(ids))), pa.array(n), pa.array(n)], names=["doc_id", "item_id", "cosine", "common", "words"])
+
+    return in_arrow(spread(worded(documents)), run, LEAKS)
 
 
 def texts(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -94,18 +140,24 @@ def frequencies(terms: DataFrame) -> np.ndarray:
     return out
 
 
-def weights(counts: np.ndarray, items: list[tuple[int, np.ndarray]]) -> np.ndarray:
+def rarest(benchmark: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """The terms that are among the TELLING rarest of any item."""
+    out = np.zeros(TERMS, bool)
+    for held in benchmark_slices(benchmark):
+        for _, words in held:
+            own = np.unique(folded(words))
+            out[own[np.argsort(counts[own], kind="stable")[:TELLING]]] = True
+    return out
+
+
+def weights(counts: np.ndarray, telling: np.ndarray) -> np.ndarray:
     """Inverse document frequency; 0 for stop terms, those in more than a share COMMON of the documents.
 
-    The TELLING rarest terms of each item are never stop terms, so that an item of common words can be found too.
+    The rarest terms of each item are never stop terms, so that an item of common words can be found too.
     """
     n, df = counts[-1], counts[:-1]
     w = np.log1p(n / (df + 0.5)).astype(np.float32)
-    stop = df > COMMON * n + 10
-    for _, ids in items:
-        own = np.unique(ids)
-        stop[own[np.argsort(df[own], kind="stable")[:TELLING]]] = False
-    w[stop] = 0
+    w[(df > COMMON * n + 10) & ~telling] = 0
     w[0] = 0
     return w
 
@@ -307,10 +359,22 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def benchmark_items(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:
+def benchmark_slices(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items as (item_id, 32 bits of each word), a bounded number at a time, in the order of ids."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    items = [(r.item_id, terms_of([r.text])[0]) for r in rows.toLocalIterator()]
-    return sorted((x for x in items if len(x[1]) >= SHORTEST), key=lambda x: x[0])
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        words = hashed_words([r.text])[0]
+        if not len(words):
+            continue
+        if held and (len(held) == SLICE or size + len(words) > SLICE_WORDS):
+            yield held
+            held, size = [], 0
+        held.append((r.item_id, words))
+        size += len(words)
+    if held:
+        yield held
 
 
 def search(terms: DataFrame, items: list[tuple[int, np.ndarray]], latent: np.ndarray, w: np.ndarray) -> DataFrame:
@@ -359,7 +423,7 @@ def search(terms: DataFrame, items: list[tuple[int, np.ndarray]], latent: np.nda
                 cols = np.flatnonzero(sizes == n)
                 if not len(cols):
                     continue
-                rows = np.arange(len(doc)) if n < COARSE else np.flatnonzero(k % 2 == 0)
+                rows = np.flatnonzero(k % 2 == 0)
                 for at in range(0, len(rows), 8192):
                     some = rows[at : at + 8192]
                     x = t[place[some]]
@@ -397,29 +461,33 @@ def search(terms: DataFrame, items: list[tuple[int, np.ndarray]], latent: np.nda
                 if rows := list(read(b)):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["doc_id", "item_id", "cosine", "common", "words"])
 
-    return in_arrow(terms, run, "doc_id long, item_id long, cosine double, common long, words long")
+    return in_arrow(terms, run, LEAKS)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common (words in order), words (of the item): one row for each leak."""
     spark = documents.sparkSession
-    items = benchmark_items(benchmark)
-    empty = spark.createDataFrame([], "doc_id long, item_id long, cosine double, common long, words long")
-    if not items:
-        return empty
     scratch = Scratch(spark)
-    terms = scratch.save(term_table(documents), "terms")
-    counts = frequencies(terms)
-    if not counts[-1]:
-        return empty
-    w = weights(counts, items)
-    latent = latent_map(gram_times_gaussian(terms, w), w)
-    found = empty
-    for i in range(0, len(items), SLICE):
-        found = found.union(search(terms, items[i : i + SLICE], latent, w))
+    found = spark.createDataFrame([], LEAKS)
+    terms = counts = latent = None
+    for held in benchmark_slices(benchmark):
+        if short := [x for x in held if len(x[1]) < SHORT]:
+            found = found.union(short_leaks(documents, short))
+        items = [(i, folded(w)) for i, w in held if len(w) >= SHORT]
+        if not items:
+            continue
+        if terms is None:
+            terms = scratch.save(term_table(documents), "terms")
+            counts = frequencies(terms)
+            telling = rarest(benchmark, counts)
+            w = weights(counts, telling)
+            latent = latent_map(gram_times_gaussian(terms, w), w) if counts[-1] else None
+        if latent is not None:
+            found = found.union(search(terms, items, latent, w))
     best = found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"), F.max("words").alias("words"))
     out = scratch.save(best, "leaks")
-    scratch.remove(terms)
+    if terms is not None:
+        scratch.remove(terms)
     return out
 
 

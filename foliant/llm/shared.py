@@ -11,7 +11,6 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..shipping import ship
 from ..sources.folder import own_folder
@@ -124,10 +123,33 @@ _INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _PLACE = np.random.default_rng(41).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
 
 
+def solitary(b: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without spaces start in UTF-8."""
+    at = np.flatnonzero(b >= 0xE0)
+    if not len(at):
+        return at
+    lead, then = b[at], b[np.minimum(at + 1, len(b) - 1)]
+    wide = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xF0) & (then >= 0xA0) & (then <= 0xBF)
+    thai = (lead == 0xE0) & (then >= 0xB8) & (then <= 0xBB)
+    khmer = (lead == 0xE1) & ((then <= 0x82) | (then == 0x9E) | (then == 0x9F))
+    return at[wide | thai | khmer | (lead == 0xEF) & (then >= 0xA4) & (then <= 0xAB)]
+
+
+def cut_alone(b: np.ndarray, first: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and lengths of words, the runs being cut before and after each solitary character."""
+    after = alone + np.where(b[alone] >= 0xF0, 4, 3)
+    cuts = np.unique(np.concatenate([first, alone, after]))
+    run = np.searchsorted(first, cuts, "right") - 1
+    inside = (run >= 0) & (cuts < end[run])
+    cuts, run = cuts[inside], run[inside]
+    return cuts, np.minimum(np.append(cuts[1:], end[-1]), end[run]) - cuts
+
+
 def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """32 bits of every lower-case word of the texts, and where each text's words start (one more entry: the end).
 
-    A word is a run of ASCII letters, digits and characters beyond ASCII. All is done on the bytes at once, without an
+    A word is a run of ASCII letters, digits and characters beyond ASCII; in scripts that are written without spaces
+    (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each character is one. All is done on the bytes at once, without an
     object for each word, long texts in pieces.
     """
     parts = [(k, p.lower().encode("utf-8", "replace")) for k, t in enumerate(texts) if t for p in pieces(t)]
@@ -144,6 +166,8 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(b) and inside[0]:
             edge = np.append(0, edge)
         first, length = edge[::2], edge[1::2] - edge[::2]
+        if len(alone := solitary(b)):
+            first, length = cut_alone(b, first, first + length, alone)
         start = np.cumsum(length) - length
         within = np.arange(length.sum()) - np.repeat(start, length)
         h = np.add.reduceat(b[inside].astype(np.uint64) * _PLACE[within & 4095], start) if len(start) else np.zeros(0, np.uint64)
@@ -189,7 +213,3 @@ def bounded_sample(rows: DataFrame, strata: list[str], key: str, per_stratum: in
 
     w = Window.partitionBy(*strata).orderBy(order_hash(key, seed=seed), key)
     return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_stratum).drop("_rank")
-
-
-def as_long(df: DataFrame, name: str) -> Column:
-    return F.col(f"`{name}`").cast(T.LongType())
