@@ -138,6 +138,7 @@ def test_neighbours_of_odd_vectors(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [1.0]), (7, [nan, 0.0]), (8, [inf, 0.0]), (9, [None, 1.0]), (None, [0.0, 0.0]), (3, [1.0, 0.0]), (10, [5.0, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("v", F.lit("clash"))
     got = {r.vec_id: (r.neighbours, r.distances) for r in ann.neighbours(df, k=2).collect()}
+    assert got.pop(6) == ([], [])  # alone in its dimension
     assert set(got) == {1, 2, 3, 10} and got[1] == ([2, 3], [0.0, 1.0]) and got[3] == ([1, 2], [1.0, 1.0])
     assert {len(n) for n, _ in got.values()} == {2}
     assert [len(r.neighbours) for r in ann.neighbours(df.filter("vec_id in (1, 2)"), k=5).collect()] == [1, 1]
