@@ -1,23 +1,28 @@
 """WARC files, index first.
 
-`write` puts records, each a gzip member, into files in a shared folder. `index` reads whole files once and writes offset,
-length, URL and digest of every record. A selection is a query over that index alone. `read` then sorts the selected
-entries by file and offset and fetches byte ranges, near ones together, so that records not selected cost little or nothing.
+`write` puts records, each a gzip member, into files in a shared folder, and notes offset, length, URL and digest of every
+record as it does; `index` makes the same table of WARC files that others wrote, reading each once from front to back. A
+selection is a query over that index alone. `read` then sorts the selected entries by file and offset and fetches byte
+ranges, near ones together, so that records not selected cost little or nothing.
 
-A task that is tried again writes another file; the written manifest names the files of the attempts that counted. Ranges
-are read by tasks of up to BLOCK bytes of a file, so large files are read by many tasks; no range is above LARGEST unless one
-record is.
+A task that is tried again writes another file; the written index names the files of the attempts that counted. Ranges
+are read by tasks of up to BLOCK bytes of a file, as many as the selected bytes fill or cores can use; no range is above
+LARGEST unless one record is.
 
 Defined results: null html, url or page_id come back as nulls, an empty html as empty; a null html has a null digest and
 is never selected by `distinct_payloads`. URLs with control or other than ASCII characters come back exactly. Repeated rows
 are records of their own. Of records with equal digests the one of least page_id, then url, is selected, nulls first. No pages give no files and an
-empty index. Other columns are not written.
+empty index. Other columns are not written. Of foreign files, records of the types in PAYLOADS are indexed, of a `response`
+the payload is what follows the HTTP head, as stored; bytes that aren't UTF-8 come back as replacement characters. The digest is always
+worked out from the payload (MD5); a stated MD5, SHA-1 or SHA-256 that doesn't fit is an error, other stated digests are not checked.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +38,8 @@ BLOCK = 64 << 20
 GAP = 64 << 10
 LARGEST = 8 << 20
 PIECE = 64 << 10
+PAYLOADS = ("resource", "response", "conversion")
+LEAST_BLOCK = 1 << 20  # bytes below which reads aren't cut further to keep cores busy
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string"
 
@@ -44,60 +51,91 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
+def record(page_id: int | None, url: str | None, html: str | None, name: str = "") -> bytes:
+    """A record; `name` makes its identifier, the same at each attempt."""
     body = b"" if html is None else html.encode("utf-8", "surrogatepass")
-    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Date: {DATE}", "Content-Type: text/html"]
+    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name or f'{page_id} {url!r}')}>", f"WARC-Date: {DATE}", "Content-Type: text/html"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
         plain = url.isascii() and url.isprintable() and url == url.strip()
         head.append(f"WARC-Target-URI: {url}" if plain else f"X-Target-URI-Base64: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}")
-    if html is not None:
-        head.append(f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest()}")
+    head.append("X-Payload: none" if html is None else f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest()}")
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def parsed(raw: bytes) -> tuple[int | None, str | None, str | None, str | None]:
-    """page_id, url, html, digest of a record; the digest is worked out from the payload and held against the header."""
+def fits(stated: str, body: bytes) -> bool:
+    """Whether a stated digest is that of the body; true for algorithms that aren't known here."""
+    kind, _, value = stated.partition(":")
+    name = kind.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256"):
+        return True
+    raw, value = hashlib.new(name, body).digest(), value.strip()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
+def parsed(raw: bytes) -> tuple[int | None, str | None, str | None, str | None] | None:
+    """page_id, url, html, digest of a record; None if its type has no payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("ascii").split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
-    url = fields.get("WARC-Target-URI")
-    if "X-Target-URI-Base64" in fields:
-        url = base64.b64decode(fields["X-Target-URI-Base64"]).decode("utf-8", "surrogatepass")
+    fields: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    if fields.get("warc-type", "").lower() not in PAYLOADS:
+        return None
+    body = rest[: int(fields["content-length"])]
+    if fields["warc-type"].lower() == "response" and fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        body = body.partition(b"\r\n\r\n")[2]
+    url = fields.get("warc-target-uri")
+    if url and url[0] == "<" and url[-1] == ">":
+        url = url[1:-1]
+    if "x-target-uri-base64" in fields:
+        url = base64.b64decode(fields["x-target-uri-base64"]).decode("utf-8", "surrogatepass")
     digest = html = None
-    if "WARC-Payload-Digest" in fields:
+    if fields.get("x-payload") != "none":
+        stated = fields.get("warc-payload-digest", "")
+        if not fits(stated, body):
+            raise ValueError(f"a record's payload doesn't fit its digest {stated}")
         digest = hashlib.md5(body).hexdigest()
-        if fields["WARC-Payload-Digest"] != f"md5:{digest}":
-            raise ValueError(f"a record's payload doesn't fit its digest {fields['WARC-Payload-Digest']}")
-        html = body.decode("utf-8", "surrogatepass")
-    page = fields.get("X-Page-Id")
-    return int(page) if page else None, url, html, digest
+        try:
+            html = body.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            html = body.decode("utf-8", "replace")
+    page = fields.get("x-page-id", "")
+    return int(page) if page.lstrip("-").isdigit() else None, url, html, digest
 
 
 def write(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
-    """Writes page_id, url, html as WARC files; gives the manifest (file, records)."""
+    """Writes page_id, url, html as WARC files; gives the index, written too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         fs, path = store(folder)
-        out, n = None, 0
+        out, at, n, rows = None, 0, 0, []
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz"
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
+            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     fs.create_dir(path, recursive=True)
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
+                raw = record(page_id, url, html, f"{name}/{n}")
                 member = zlib.compressobj(1, zlib.DEFLATED, 31)
-                out.write(member.compress(record(*row)) + member.flush())
-                n += 1
+                data = member.compress(raw) + member.flush()
+                out.write(data)
+                digest = None if html is None else hashlib.md5(html.encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((name, at, len(data), page_id, url, digest))
+                at, n = at + len(data), n + 1
+                if len(rows) == 10_000:
+                    yield entries(rows)
+                    rows = []
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
+            out.close()  # before the last entries go out, so that no entry is committed without its bytes
+        if rows:
+            yield entries(rows)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return scratch.save(in_arrow(rows, run, "file string, records long"), "manifest")
+    return scratch.save(in_arrow(rows, run, INDEX), "index")
 
 
 def members(stream: pa.NativeFile) -> Iterator[tuple[int, int, bytes]]:
@@ -119,8 +157,8 @@ def members(stream: pa.NativeFile) -> Iterator[tuple[int, int, bytes]]:
         start = at
 
 
-def index(manifest: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
-    """Writes and gives an entry for each record of each file: file, offset, length, page_id, url, digest."""
+def index(files: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
+    """Writes and gives an entry for each record of each named file (`file`, below the folder): file, offset, length, page_id, url, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = store(folder)
@@ -129,16 +167,16 @@ def index(manifest: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
                 rows = []
                 with fs.open_input_stream(f"{path}/{name}", compression=None, buffer_size=1 << 20) as stream:
                     for offset, length, raw in members(stream):
-                        page, url, _, digest = parsed(raw)
-                        rows.append((name, offset, length, page, url, digest))
+                        if found := parsed(raw):
+                            rows.append((name, offset, length, found[0], found[1], found[3]))
                         if len(rows) == 10_000:
                             yield entries(rows)
                             rows = []
                 if rows:
                     yield entries(rows)
 
-    files = manifest.select("file")
-    return scratch.save(in_arrow(files.repartition(max(1, manifest.count()), "file"), run, INDEX), "index")
+    names = files.select("file").distinct()
+    return scratch.save(in_arrow(names.repartition(max(1, names.count()), "file"), run, INDEX), "index")
 
 
 def entries(rows: list[tuple]) -> pa.RecordBatch:
@@ -179,18 +217,23 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
             for name, start, end, inside in ranges(rows):
                 with fs.open_input_file(f"{path}/{name}") as f:
                     data = f.read_at(end - start, start)
-                out = [parsed(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in inside]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["page_id", "url", "html", "digest"])
-
-    placed = selected.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("file", "offset")
+                out = [x for x in (parsed(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in inside) if x]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["page_id", "url", "html", "digest"])
+
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    block = min(BLOCK, max(LEAST_BLOCK, size // (2 * cores)))
+    # a number of partitions of its own, as entries are small and what they name is not
+    placed = selected.select("file", "offset", "length").repartition(max(1, math.ceil(size / block)), "file", F.floor(F.col("offset") / block)).sortWithinPartitions("file", "offset")
     return in_arrow(placed, run, "page_id long, url string, html string, digest string")
 
 
 def distinct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct page, read back by way of files and index."""
     scratch, folder = Scratch(spark), shared_folder(spark) + "-warc"
-    manifest = write(table(spark, sf_dir, "pages"), folder, scratch)
-    return read(distinct_payloads(index(manifest, folder, scratch)), folder)
+    selected = distinct_payloads(write(table(spark, sf_dir, "pages"), folder, scratch))
+    return read(scratch.save(selected, "selected"), folder)
 
 
 PAGES_SQL = """
