@@ -3,8 +3,10 @@
 A word's vector is the sum of three rows of a hashed table: of the word itself and of its first four and five letters.
 Filters of several widths slide over the word vectors, the largest value of each filter over the whole text is kept
 (max pooling), and a logistic layer gives the score. Only the fit uses a bounded sample of the labelled rows (`Fit`);
-scoring covers every word of every document. Thresholds are calibrated by language on held-out rows of that sample;
-a language with too few of them gets the threshold of all languages together.
+scoring covers every word of every document, once. Thresholds are calibrated by language on the scores of all labelled rows
+that the fit didn't learn from, summed by Spark in a histogram: each language and class weighs there what it weighs among
+all labelled rows, and the threshold is that of best F1. A language with too few such toxic rows gets the threshold of all
+languages together. The histogram's rows are languages with labels x 2 classes x BINS at most.
 
 Defined results: a null or wordless text has a null score and is never toxic; a null or unseen language uses the common
 threshold; labels that are null, or whose document is missing, are ignored; a doc_id with several labels counts as toxic if
@@ -19,12 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import Words, bounded_sample, chunks, hash32, in_arrow, numbers, pieces, spread, table, word
+from .shared import Scratch, Words, bounded_sample, chunks, hash32, in_arrow, numbers, pieces, spread, table, word
 
 PARTS = 3
+ODDS = "__odds__"
+BINS, WIDTH = 960, 16  # of the log odds from -30 to 30, and how many to one
 
 
 @dataclass(frozen=True)
@@ -65,7 +70,7 @@ class Model:
         self.b = np.zeros(len(fit.widths) * fit.filters, np.float32)
         self.v = np.full(len(fit.widths) * fit.filters, 0.2, np.float32)
         self.c = np.zeros(1, np.float32)
-        self.thresholds: dict[str | None, float] = {None: 2.0}
+        self.seen: list[int] = []  # documents that it has learnt from
 
     def arrays(self) -> list[np.ndarray]:
         return [self.E, *self.W.values(), self.b, self.v, self.c]
@@ -114,8 +119,12 @@ class Model:
                 out[some] = self.probability(pre)
         return out
 
+    def odds(self, pooled: np.ndarray) -> np.ndarray:
+        """Log odds."""
+        return np.clip(np.maximum(pooled, 0) @ self.v + self.c, -30, 30)
+
     def probability(self, pooled: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.maximum(pooled, 0) @ self.v + self.c, -30, 30)))
+        return 1 / (1 + np.exp(-self.odds(pooled)))
 
 
 def joined(docs: list[np.ndarray], widest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,20 +136,21 @@ def joined(docs: list[np.ndarray], widest: int) -> tuple[np.ndarray, np.ndarray]
     return ids, starts
 
 
-def separate(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of best F1, in the middle of the gap that it lies in."""
-    order = np.argsort(-score, kind="stable")
-    s, t = score[order], np.cumsum(y[order])
-    f1 = 2 * t / (np.arange(1, len(s) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    k = int(f1.argmax())
-    return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] * 0.999)
+def separate(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """From the weight of either class in each bin, the log odds of best F1, in the middle of the gap that it lies in."""
+    t, c = np.cumsum(toxic[::-1])[::-1], np.cumsum(clean[::-1])[::-1]
+    f1 = 2 * t / (t + c + t[0])
+    some = np.flatnonzero(toxic + clean)
+    k = int(some[::-1][f1[some][::-1].argmax()])  # of equals the highest
+    below = some[some < k]
+    low = below[-1] + 1 if len(below) else k
+    return float((k + low) / 2 / WIDTH - BINS / WIDTH / 2)
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, lang: list[str | None], fit: Fit) -> Model:
-    """Fits on part of the rows and calibrates on the rest; rows are taken in the order given."""
+def train(docs: list[np.ndarray], y: np.ndarray, fit: Fit, ids: list[int] | None = None) -> Model:
+    """Fits on a part of the rows; rows are taken in the order given."""
     docs, keep = [d for d in docs if len(d)], [k for k, d in enumerate(docs) if len(d)]
-    y, lang = np.asarray(y, np.float32)[keep], [lang[k] for k in keep]
+    y = np.asarray(y, np.float32)[keep]
     r = np.random.default_rng(fit.seed)
     held = r.random(len(docs)) < fit.held_out
     seen = np.flatnonzero(~held)
@@ -154,6 +164,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, lang: list[str | None], fit: Fi
     model = Model(fit, np.clip(odds * np.minimum(1, count.sum(0) / 3), -1.5, 4).astype(np.float32) / 3)
     if not 0 < y[seen].sum() < len(seen):
         return model
+    model.seen = [] if ids is None else [ids[keep[k]] for k in seen]
     weight = np.where(y == 1, 0.5 * len(seen) / n1, 0.5 * len(seen) / n0)
     moments = [(np.zeros_like(a), np.zeros_like(a)) for a in model.arrays()]
     t = 0
@@ -170,41 +181,39 @@ def train(docs: list[np.ndarray], y: np.ndarray, lang: list[str | None], fit: Fi
                 v *= 0.999
                 v += 0.001 * g * g
                 a -= fit.rate * (0.25 if k == 0 else 1) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    rows = np.flatnonzero(held) if 0 < y[held].sum() < held.sum() else seen
-    score = model.scores([docs[k] for k in rows])
-    model.thresholds = {None: separate(score, y[rows])}
-    for name in {lang[k] for k in rows} - {None}:
-        own = np.array([lang[k] == name for k in rows])
-        if fit.own_threshold <= y[rows][own].sum() < own.sum():
-            model.thresholds[name] = separate(score[own], y[rows][own])
     return model
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, fit: Fit) -> tuple[list, np.ndarray, list]:
-    """The bounded sample, made into embedding rows by the executors. The ids it is picked by number
+def marked(labels: DataFrame) -> DataFrame:
+    """doc_id and whether any label calls it toxic."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, fit: Fit) -> tuple[list, np.ndarray, list[int]]:
+    """Rows, labels and ids of the bounded sample, made into embedding rows by the executors. The ids it is picked by number
     2 x languages x per_class at most, hence the broadcast."""
     ids = documents.select(F.col("doc_id").alias("doc_id"), "lang").filter("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    marks = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    picked = bounded_sample(ids.join(marks, "doc_id"), ["lang", "toxic"], "doc_id", fit.per_class, fit.seed)
+    picked = bounded_sample(ids.join(marked(labels), "doc_id"), ["lang", "toxic"], "doc_id", fit.per_class, fit.seed)
     texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     buckets, longest = fit.buckets, fit.longest
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = batch.to_pydict()
-            rows = []
-            for text in d["text"]:
-                w = [p for x in pieces(text or "") for raw in x.split() if (p := parts(raw, buckets))]
-                rows.append(np.array(w, np.int32).tobytes() if 0 < len(w) <= longest else b"")
-            yield pa.RecordBatch.from_pydict({"doc_id": d["doc_id"], "lang": d["lang"], "toxic": pa.array(d["toxic"], pa.int32()), "rows": pa.array(rows, pa.binary())}, schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("toxic", pa.int32()), ("rows", pa.binary())]))
+            for b in chunks(batch):
+                rows = []
+                for text in b.column(3).to_pylist():
+                    w = [p for x in pieces(text or "") for raw in x.split() if (p := parts(raw, buckets))]
+                    rows.append(np.array(w, np.int32).tobytes() if 0 < len(w) <= longest else b"")
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "lang", "toxic", "rows"])
 
     got = in_arrow(texts.select(F.col("doc_id").cast("long"), "lang", "toxic", "text"), read, "doc_id long, lang string, toxic int, rows binary").toPandas()
-    got = got[got["rows"].map(len) > 0].sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    return [np.frombuffer(x, np.int32).reshape(-1, PARTS) for x in got["rows"]], got["toxic"].to_numpy(), [x if isinstance(x, str) else None for x in got["lang"]]
+    got = got[got["rows"].map(len) > 0].sort_values(["doc_id", "rows"], kind="stable").drop_duplicates("doc_id")
+    return [np.frombuffer(x, np.int32).reshape(-1, PARTS) for x in got["rows"]], got["toxic"].to_numpy(), got["doc_id"].tolist()
 
 
 def fit_model(documents: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
-    return train(*training_rows(documents, labels, fit), fit)
+    docs, y, ids = training_rows(documents, labels, fit)
+    return train(docs, y, fit, ids)
 
 
 class Scorer:
@@ -288,50 +297,85 @@ class Scorer:
                     flush()
                     held = 0
         flush()
-        out[some] = self.model.probability(np.stack([best[k] for k in some]) + self.model.b)
+        out[some] = self.model.odds(np.stack([best[k] for k in some]) + self.model.b)
         return out
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, score, threshold, toxic for every row of documents."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a few megabytes, whatever the corpus
+def scored(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """Those columns of documents, and the log odds of each row's text in ODDS."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # a few megabytes, whatever the corpus
+    name = ODDS
+    while name in documents.columns:
+        name += "_"
+    rows = documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias(name))
+    kept = len(columns)
+    schema = T.StructType([*rows.schema.fields[:kept], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        limits = shared.value.thresholds
         for batch in batches:
-            for b in chunks(batch):
-                s = scorer(b.column(2).to_pylist())
-                t = np.array([limits.get(x, limits[None]) for x in b.column(1).to_pylist()], np.float64)
-                none = np.isnan(s)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float64), mask=none), pa.array(t), pa.array(np.where(none, False, s >= t))], names=["doc_id", "lang", "score", "threshold", "toxic"])
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return in_arrow(spread(rows), run, "doc_id long, lang string, score double, threshold double, toxic boolean")
-
+            for b in chunks(batch, name):
+                s = scorer(b.column(kept).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(s.astype(np.float64), mask=np.isnan(s))], names=b.schema.names)
+
+    return in_arrow(spread(rows), run, schema)
+
+
+def thresholds(odds: DataFrame, labels: DataFrame, model: Model, fit: Fit) -> dict[str | None, float]:
+    """Log odds from which a language's documents are toxic, None standing for all others; from (doc_id, lang, odds) of all documents."""
+    spark = odds.sparkSession
+    if not model.seen:
+        return {None: float("inf")}
+    one = odds.filter("doc_id is not null and odds is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("odds").alias("odds"))
+    learnt = spark.createDataFrame([(i,) for i in model.seen], "seen long")  # no more than the fit's sample
+    rows = one.join(marked(labels), "doc_id").join(F.broadcast(learnt), F.col("doc_id") == F.col("seen"), "left").withColumn("free", F.col("seen").isNull())
+    at = F.least(F.lit(BINS - 1), F.floor((F.col("odds") + BINS / WIDTH / 2) * WIDTH).cast("int"))
+    got = rows.groupBy("lang", "toxic", "free", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    if not set(got["toxic"]) == {0, 1} == set(got["toxic"][got["free"]]):
+        got["free"] = True  # nothing was held out, so what was learnt from has to do
+    tables: dict[str | None, np.ndarray] = {}
+    toxic: dict[str | None, int] = {}
+    got["lang"] = [x if isinstance(x, str) else None for x in got["lang"]]
+    for (lang, y), part in got.groupby(["lang", "toxic"], dropna=False):
+        lang = lang if isinstance(lang, str) else None
+        free = part[part["free"]]
+        h = np.bincount(free["bin"], free["n"], BINS) if len(free) else np.bincount(part["bin"], part["n"], BINS)
+        tables.setdefault(lang, np.zeros((2, BINS)))[y] += h * part["n"].sum() / h.sum()
+        toxic[lang] = toxic.get(lang, 0) + int(free["n"].sum()) * int(y)
+    out = {k: separate(h[1], h[0]) for k, h in tables.items() if k is not None and toxic[k] >= fit.own_threshold and h[0].sum() > 0}
+    every = sum(tables.values())
+    return {**out, None: separate(every[1], every[0])}
+
+
+def threshold(limits: dict[str | None, float]) -> Column:
+    """That of a row's `lang`."""
+    named = [x for k, v in limits.items() if k is not None for x in (F.lit(k), F.lit(v))]
+    return F.coalesce(F.create_map(*named)[F.col("lang")], F.lit(limits[None])) if named else F.lit(limits[None])
+
+
+def score(documents: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
+    """doc_id, lang, score, threshold, toxic for every row of documents."""
+    model = fit_model(documents, labels, fit)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    odds = Scratch(documents.sparkSession).save(scored(rows, model, ["doc_id", "lang"]).withColumnRenamed(ODDS, "odds"), "odds")
+    limits = thresholds(odds, labels, model, fit)
+    chance = lambda x: 1 / (1 + F.exp(-x))
+    return odds.select("doc_id", "lang", chance(F.col("odds")).alias("score"), chance(threshold(limits)).alias("threshold"), F.coalesce(F.col("odds") >= threshold(limits), F.lit(False)).alias("toxic"))
 
-def reject_toxic(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows of documents that are not toxic, all columns as they came."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema, names = documents.schema, documents.columns
-    lang, text = names.index("lang"), names.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        limits = shared.value.thresholds
-        for batch in batches:
-            for b in chunks(batch):
-                s = scorer(b.column(text).to_pylist())
-                t = np.array([limits.get(x, limits[None]) for x in b.column(lang).to_pylist()])
-                yield b.filter(pa.array(~(np.nan_to_num(s, nan=-1.0) >= t)))
+def reject_toxic(documents: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
+    """The rows of documents that are not toxic, all columns as they came.
 
-    return in_arrow(spread(documents), run, schema)
+    They are written with their odds, so that texts are scored once and no join has to bring rows and decisions together.
+    """
+    model = fit_model(documents, labels, fit)
+    both = Scratch(documents.sparkSession).save(scored(documents, model, documents.columns), "odds")
+    name = both.columns[-1]
+    odds = both.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col(name).alias("odds"))
+    limits = thresholds(odds, labels, model, fit)
+    return both.filter(~F.coalesce(F.col(f"`{name}`") >= threshold(limits), F.lit(False))).drop(name)
 
 
 def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the classifier rejects, with its score and the threshold of its language."""
-    documents = table(spark, sf_dir, "documents")
-    model = fit_model(documents, table(spark, sf_dir, "labels"))
-    return score(documents, model).filter("toxic")
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("toxic")
