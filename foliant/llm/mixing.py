@@ -7,7 +7,8 @@ budget's documents are part of every larger one's. The histograms stay DataFrame
 open.
 
 A budget is share x all tokens x the source's weight / all weights, rounded down; a source with fewer tokens than that is
-kept whole (nothing is repeated). Weights default to 1 for every source. Thresholds keep the longest run of least hashes whose tokens
+kept whole (nothing is repeated). Weights default to 1 for every source; of given weights, those of sources not named are
+`other` (0). Thresholds keep the longest run of least hashes whose tokens
 don't exceed the budget.
 
 Defined results: tokens are what stands between white space; null and empty texts have none and are kept if their hash lies
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, table
 
 SHARES = (0.15, 0.3, 0.6)
+WEIGHTS, OTHER = {"src0": 2.0, "src1": 0.5, "src2": 0.25}, 1.0  # of the registered query
 SEED = "mix"
 BITS, STEP = 60, 12
 
@@ -45,9 +47,9 @@ def sized(documents: DataFrame, seed: str) -> DataFrame:
     return documents.select(F.col("source").cast("string").alias("source"), hash60(F.col("doc_id"), seed).alias("h"), token_count(F.col("text")).alias("tokens"))
 
 
-def thresholds(rows: DataFrame, scratch: Scratch, shares: tuple[float, ...], weights: dict[str, float] | None) -> DataFrame:
+def thresholds(rows: DataFrame, scratch: Scratch, shares: tuple[float, ...], weights: dict[str, float] | None, other: float = 0.0) -> DataFrame:
     """(source, tier, below): documents of a source with h < below belong to the tier; tiers count from 0."""
-    if weights and min(weights.values()) < 0:
+    if weights and min(*weights.values(), other) < 0:
         raise ValueError("weights must not be negative")
     total = F.col("all_tokens")
     w = F.lit(1.0)
@@ -55,7 +57,7 @@ def thresholds(rows: DataFrame, scratch: Scratch, shares: tuple[float, ...], wei
     if weights is not None:
         given = rows.sparkSession.createDataFrame(list(weights.items()), "name string, w double")
         sources = sources.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
-        w = F.coalesce(F.col("w"), F.lit(0.0))
+        w = F.coalesce(F.col("w"), F.lit(float(other)))
     everything = Window.partitionBy()
     sources = sources.withColumn("all_tokens", F.sum("tokens").over(everything)).withColumn("w", w)
     sources = sources.withColumn("share", F.when(F.sum("w").over(everything) > 0, F.col("w") / F.sum("w").over(everything)).otherwise(0.0))
@@ -87,27 +89,28 @@ def thresholds(rows: DataFrame, scratch: Scratch, shares: tuple[float, ...], wei
     return scratch.save(done, "thresholds")
 
 
-def tiers(documents: DataFrame, shares: tuple[float, ...] = SHARES, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
+def tiers(documents: DataFrame, shares: tuple[float, ...] = SHARES, weights: dict[str, float] | None = None, seed: str = SEED, other: float = 0.0) -> DataFrame:
     """The thresholds of every source, a row each: `__source` and `__below`, an ascending array with one hash for each share."""
     scratch = Scratch(documents.sparkSession)
     rows = scratch.save(sized(documents, seed), "sized")
-    t = thresholds(rows, scratch, shares, weights)
+    t = thresholds(rows, scratch, shares, weights, other)
     scratch.remove(rows)
     below = F.transform(F.sort_array(F.collect_list(F.struct("tier", "below"))), lambda x: x["below"])
     return scratch.save(t.groupBy(F.col("source").alias("__source")).agg(below.alias("__below")), "tiers")
 
 
-def mix(documents: DataFrame, share: float = SHARES[-1], weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
+def mix(documents: DataFrame, share: float = SHARES[-1], weights: dict[str, float] | None = None, seed: str = SEED, other: float = 0.0) -> DataFrame:
     """The rows of documents that the budget keeps, all columns as they came."""
-    t = tiers(documents, (share,), weights, seed)
+    t = tiers(documents, (share,), weights, seed, other)
     kept = documents.join(t, F.col("source").eqNullSafe(F.col("__source")) & (hash60(F.col("doc_id"), seed) < F.col("__below")[0]))
     return kept.select(*[documents[f"`{c}`"] for c in documents.columns])
 
 
 def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source and the least tier (share SHARES[tier] of all tokens) of every document that any budget keeps."""
+    """doc_id, source and the least tier (share SHARES[tier] of all tokens) of every document that any budget keeps,
+    the sources in WEIGHTS having these weights and all others OTHER."""
     documents = table(spark, sf_dir, "documents")
-    t = tiers(documents)
+    t = tiers(documents, weights=WEIGHTS, other=OTHER)
     h = hash60(F.col("doc_id"))
     ids = documents.select("doc_id", "source")
     tier = F.size(F.filter("__below", lambda b: b <= F.col("h")))
@@ -122,11 +125,13 @@ WITH sized AS (
   FROM documents
 ), run AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM sized
+), weight AS (
+  SELECT source, CAST(CASE source WHEN 'src0' THEN 2 WHEN 'src1' THEN 0.5 WHEN 'src2' THEN 0.25 ELSE 1 END AS DOUBLE) AS w FROM (SELECT DISTINCT source FROM sized)
 ), budget AS (
-  SELECT (SELECT sum(tokens) FROM sized) AS n, (SELECT count(*) FROM (SELECT DISTINCT source FROM sized)) AS k
+  SELECT source, w / (SELECT sum(w) FROM weight) AS share, (SELECT sum(tokens) FROM sized) AS n FROM weight
 )
-SELECT doc_id, source,
-       CAST(CASE WHEN upto <= floor(0.15::DOUBLE * n * (1.0::DOUBLE / k)) THEN 0 WHEN upto <= floor(0.3::DOUBLE * n * (1.0::DOUBLE / k)) THEN 1 ELSE 2 END AS INTEGER) AS tier
-FROM run, budget
-WHERE upto <= floor(0.6::DOUBLE * n * (1.0::DOUBLE / k))
+SELECT r.doc_id, r.source,
+       CAST(CASE WHEN upto <= floor(0.15::DOUBLE * n * share) THEN 0 WHEN upto <= floor(0.3::DOUBLE * n * share) THEN 1 ELSE 2 END AS INTEGER) AS tier
+FROM run r JOIN budget b ON r.source IS NOT DISTINCT FROM b.source
+WHERE upto <= floor(0.6::DOUBLE * n * share)
 """
