@@ -19,8 +19,8 @@ OPERATORS = {
     "pii": lambda spark, d: pii.identifiers(d),
     "token_counts": lambda spark, d: tokencount.token_counts(d, "doc_id"),
     "langid": lambda spark, d: langid.identify(d, langid.train(*langid.training_rows(d, langid.Fit(per_language=5)), langid.Fit())),
-    "toxicity": lambda spark, d: toxicity.score(d, toxicity.fit_model(d, nasty.labels(spark), FIT)),
-    "reject_toxic": lambda spark, d: toxicity.reject_toxic(d, toxicity.fit_model(d, nasty.labels(spark), FIT)),
+    "toxicity": lambda spark, d: toxicity.score(d, nasty.labels(spark), FIT),
+    "reject_toxic": lambda spark, d: toxicity.reject_toxic(d, nasty.labels(spark), FIT),
     "shuffle": lambda spark, d: sharding.shuffle(d, bucket_bytes=1 << 20),
     "mix": lambda spark, d: mixing.mix(d, 0.5),
     "leaks": lambda spark, d: decontam.leaks(d, bench(spark)),
@@ -85,7 +85,7 @@ def test_toxicity_of_wordless_texts(spark):
 def test_toxicity_without_labels_of_both_kinds(spark):
     docs = nasty.documents(spark)
     for lab in (nasty.labels(spark).filter("toxic = 0"), nasty.labels(spark).limit(0)):
-        assert toxicity.score(docs, toxicity.fit_model(docs, lab, FIT)).filter("toxic").count() == 0
+        assert toxicity.score(docs, lab, FIT).filter("toxic").count() == 0
 
 
 def test_near_duplicates_of_odd_texts(spark):

@@ -452,10 +452,10 @@ def test_toxicity_held_out(spark):
     rows = [doc(i) for i in range(900)]
     docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, y) for i, _, _, y in rows if i < 600], "doc_id long, toxic int")
-    got = {x.doc_id: x for x in toxicity.score(docs, toxicity.fit_model(docs, labels)).collect()}
+    got = {x.doc_id: x for x in toxicity.score(docs, labels).collect()}
     test = rows[600:]
     assert sum(got[i].toxic == bool(y) for i, _, _, y in test) >= 0.97 * len(test)
-    kept = {x.doc_id for x in toxicity.reject_toxic(docs, toxicity.fit_model(docs, labels)).collect()}
+    kept = {x.doc_id for x in toxicity.reject_toxic(docs, labels).collect()}
     assert kept == {i for i, x in got.items() if not x.toxic}
 
 
@@ -467,9 +467,42 @@ def test_scorer_equals_model(monkeypatch):
     rows = [np.array([toxicity.parts(w, 512) for w in t.split()], np.int32) for t in texts]
     want = model.scores(rows)
     scorer = toxicity.Scorer(model)
-    assert np.allclose(scorer(texts), want, atol=1e-5)
+    chance = lambda x: 1 / (1 + np.exp(-x))
+    assert np.allclose(chance(scorer(texts)), want, atol=1e-5)
     long = " ".join(texts[4] for _ in range(60))  # more than one span
-    assert np.allclose(scorer([long])[0], model.scores([np.concatenate([rows[4]] * 60)])[0], atol=1e-5)
+    assert np.allclose(chance(scorer([long]))[0], model.scores([np.concatenate([rows[4]] * 60)])[0], atol=1e-5)
+
+
+def test_thresholds_equal_brute_force(spark):
+    """The best F1 over all labelled rows that weren't learnt from, each class weighing what it weighs among all."""
+    r = np.random.default_rng(5)
+    fit = toxicity.Fit()
+    model = toxicity.Model(fit, np.zeros(fit.buckets))
+    model.seen = list(range(0, 1000, 3))
+    y = r.random(1000) < 0.2
+    z = np.where(y, r.normal(1.5, 1.5, 1000), r.normal(-1.5, 1.5, 1000))
+    lang = ["en" if k % 2 else "de" for k in range(1000)]
+    odds = spark.createDataFrame([(k, lang[k], float(z[k])) for k in range(1000)], "doc_id long, lang string, odds double")
+    got = toxicity.thresholds(odds, spark.createDataFrame([(k, int(y[k])) for k in range(1000)], "doc_id long, toxic int"), model, fit)
+    assert set(got) == {"en", "de", None}
+    for name in ("en", "de"):
+        own = np.array([x == name for x in lang])
+        free = own & ~np.isin(np.arange(1000), model.seen)
+        weight = np.where(y, (own & y).sum() / (free & y).sum(), (own & ~y).sum() / (free & ~y).sum())
+
+        def f1(t):
+            over = free & (z >= t)
+            return 2 * weight[over & y].sum() / (weight[over].sum() + weight[free & y].sum())
+
+        assert f1(got[name]) >= max(f1(t) for t in z[free]) - 0.01
+
+
+def test_model_does_not_depend_on_the_order_of_repeated_ids(spark):
+    rows = [(k % 40, nasty.prose(k, 30) + (" grobian" if k % 3 == 0 else ""), "en") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (toxicity.fit_model(d, labels) for d in (docs, docs.orderBy(F.desc("text")).repartition(7)))
+    assert all((x == y).all() for x, y in zip(a.arrays(), b.arrays()))
 
 
 # ---- mixing and sharding
@@ -516,7 +549,7 @@ def naive_shards(rows, hashes, shards, seed):
 def test_sharding_equals_fisher_yates(spark):
     rows = [(i, nasty.prose(i, 20)) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    size = sharding.text_bytes(docs)
+    size = sharding.record_bytes(docs)
     assert size == sum(len(t) + 64 for _, t in rows)
     out = sharding.shuffle(docs, bucket_bytes=size // 7)
     hashes = [x[0] for x in docs.select(sharding.record_hash(docs, sharding.SEED)).collect()]
@@ -525,6 +558,26 @@ def test_sharding_equals_fisher_yates(spark):
     again = sharding.shuffle(docs.repartition(7).orderBy(F.desc("doc_id")), bucket_bytes=size // 7)
     assert sorted((x.shard, x.position, x.doc_id) for x in again.collect()) == got
     assert [x[2] for x in got] != sorted(x[2] for x in got)
+    several = sharding.shuffle(docs, bucket_bytes=size // 7, parts=3)  # shards share partitions
+    assert several.rdd.getNumPartitions() == 3
+    assert sorted((x.shard, x.position, x.doc_id) for x in several.collect()) == got
+
+
+def test_shards_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([(i, nasty.prose(i, 20)) for i in range(500)], "doc_id long, text string")
+    back = sharding.write_shards(docs, str(tmp_path / "shards"), bucket_bytes=sharding.record_bytes(docs) // 5)
+    assert sorted(map(repr, back.select("doc_id", "text").collect())) == sorted(map(repr, docs.collect()))
+    files = back.select("shard", F.input_file_name().alias("f")).distinct().collect()
+    assert len(files) == len({x.f for x in files}) == len({x.shard for x in files}) > 3  # one file a shard
+    assert all([r.position for r in spark.read.parquet(x.f).collect()] == list(range(back.filter(F.col("shard") == x.shard).count())) for x in files[:2])
+
+
+def test_sharding_counts_and_hashes_nested_values(spark):
+    docs = spark.createDataFrame([(i, [1000 + i] * 1000, {"a": {"b": i}}, (i, {"k": i}), "x") for i in range(40)], "doc_id long, v array<int>, m map<string,map<string,int>>, s struct<n:int,m:map<string,int>>, __record_hash__ string")
+    assert sharding.record_bytes(docs) > 40 * 4000
+    out = sharding.shuffle(docs, bucket_bytes=40_000)
+    assert out.columns == [*docs.columns, "shard", "position"] and out.select("shard").distinct().count() > 2
+    assert sorted(map(repr, out.drop("shard", "position").collect())) == sorted(map(repr, docs.collect()))
 
 
 def test_permutation_is_uniform():
@@ -538,6 +591,35 @@ def test_permutation_is_uniform():
 # ---- files
 
 
+def test_foreign_records():
+    body = "<p>päge</p>".encode()
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    head = lambda *more: ("\r\n".join(["WARC/1.1", "WARC-Type: response", "WARC-Record-ID: <urn:uuid:x>", "content-type: application/http; msgtype=response", "WARC-Target-URI: <http://a/>", *more, f"Content-Length: {len(http)}"]) + "\r\n\r\n").encode()
+    want = (None, "http://a/", "<p>päge</p>", hashlib.md5(body).hexdigest())
+    for more in ((), (f"WARC-Payload-Digest: sha1:{sha}",), (f"WARC-Payload-Digest: sha-256:{hashlib.sha256(body).hexdigest()}",), ("WARC-Payload-Digest: blake3:zz",)):
+        assert warc.parsed(head(*more) + http + b"\r\n\r\n") == want
+    with pytest.raises(ValueError):
+        warc.parsed(head(f"WARC-Payload-Digest: sha1:{'A' * 32}") + http)
+    assert warc.parsed(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 1\r\n\r\nx") is None
+    assert b"WARC-Record-ID: <urn:uuid:" in warc.record(1, "u", "x", "f/0") != warc.record(1, "u", "x", "f/1")
+
+
+def test_selections_skip_records_and_spread_reads(spark, monkeypatch):
+    from foliant.llm.shared import Scratch, shared_folder
+
+    pages = [(i, f"http://h/{i}", nasty.prose(i, 200)) for i in range(400)]
+    scratch, folder = Scratch(spark), shared_folder(spark)
+    written = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), folder, scratch)
+    again = warc.index(written.select("file").distinct(), folder, scratch)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, written.collect()))
+    monkeypatch.setattr(warc, "LEAST_BLOCK", 1 << 14)
+    monkeypatch.setattr(warc, "GAP", 256)
+    some = warc.read(written.filter("page_id % 7 = 3"), folder)
+    assert sorted(map(tuple, some.select("page_id", "url", "html").collect())) == [p for p in pages if p[0] % 7 == 3]
+    assert some.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() > 1  # of one file
+
+
 def test_ranges_are_coalesced_and_bounded():
     rows = [("f", 0, 10), ("f", 10, 5), ("f", 15 + warc.GAP, 7), ("f", 10 * warc.LARGEST, warc.LARGEST + 9), ("g", 0, 3)]
     got = list(warc.ranges(rows))
