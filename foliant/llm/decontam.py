@@ -49,6 +49,7 @@ TELLING = 5
 SLICE, SLICE_WORDS = 1024, 1 << 18
 LANES = 256  # pieces whose places are looked up at once
 STRETCH = 512  # blocks looked at at once
+PAIRS = 8192  # stretches and items checked at once
 SEED = 11
 LEAKS = "doc_id long, item_id long, cosine double, common long, words long"
 TEAM = 512  # tasks whose blocks of the matrix product are added up first
@@ -181,6 +182,19 @@ def blocks(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return doc, (np.cumsum(lengths) - lengths)[doc] + k * size, k
 
 
+def block_sums(table_: np.ndarray, ids: np.ndarray, starts: np.ndarray, out: np.ndarray, place: np.ndarray) -> None:
+    """Puts the sums of the rows that the words of each block name at the block's place in out; row 0 is zero."""
+    lengths = np.diff(starts)
+    doc, first, _ = blocks(lengths, BLOCK)
+    stop = starts[1:][doc]
+    for low in range(0, len(doc), 1024):
+        f, z = first[low : low + 1024], stop[low : low + 1024]
+        total = table_[ids[f]]
+        for j in range(1, BLOCK):
+            total += table_[np.where(f + j < z, ids[np.minimum(f + j, len(ids) - 1)], 0)]
+        out[place[low : low + 1024]] = total
+
+
 def gaussian(rows: int) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(rows, RANK + EXTRA)).astype(np.float32)
 
@@ -241,7 +255,7 @@ def latent_map(z: np.ndarray, w: np.ndarray) -> np.ndarray:
     v, sigma, _ = np.linalg.svd(z @ half, full_matrices=False)
     value = np.maximum(sigma**2 - shift, 0)
     good = np.flatnonzero(value > 1e-6 * max(value[0], 1e-12))[:RANK]
-    return (w[:, None] * v[:, good]).astype(np.float32)
+    return np.ascontiguousarray(w[:, None] * v[:, good], np.float32)  # rows side by side, as they are read by row
 
 
 class Item:
@@ -326,26 +340,43 @@ class Places:
         """Longest common subsequences of stretches of words with items of one lane."""
         lane, one = self.lane[item], ~np.uint64(0)
         v = np.full(len(item), one)
-        for step in range(int((stop - first).max())):
+        for step in range(int((stop - first).max()) if len(item) else 0):
             at = first + step
             u = v & self.table[np.where(at < stop, rows[np.minimum(at, len(rows) - 1)], 0), lane]
             v = (v + u) | (v - u)
         n = self.n[item]
         return n - np.bitwise_count(v & (one >> (64 - n).astype(np.uint64))).astype(np.int64)
 
-    def found(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """Document, item's number, first and last word, and common words, -1 if not counted, of all stretches to check."""
+    def found(self, ids: np.ndarray, starts: np.ndarray, done: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """Document, item's number, first and last word, and common words, -1 if not counted, of all stretches to check; not of pairs that are done."""
         if not len(ids):
             return
         rows = self.row[ids]
         doc, first, _ = blocks(np.diff(starts), BLOCK)
-        for r, i, c in self.stretches(rows, starts):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def checked() -> Iterator[tuple[int, int, int, int, int]]:
+            i, c, r = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             a = first[i]
             z = np.minimum(a + r * BLOCK, starts[1:][doc[i]])
-            n = self.common(rows, a, z, c) if self.n[c].max() <= 64 else np.full(len(c), -1)
+            n = np.full(len(c), -1)
+            one = np.flatnonzero(self.n[c] <= 64)
+            if len(one):
+                n[one] = self.common(rows, a[one], z[one], c[one])
             some = np.flatnonzero((n >= PARAPHRASE * self.n[c]) | (n < 0))
             yield from zip(doc[i[some]].tolist(), self.numbers[c[some]].tolist(), a[some].tolist(), z[some].tolist(), n[some].tolist())
 
+        for r, i, c in self.stretches(rows, starts):
+            if done:
+                left = np.array([x not in done for x in zip(doc[i].tolist(), self.numbers[c].tolist())])
+                i, c = i[left], c[left]
+            held.append((i, c, np.full(len(i), r)))
+            if sum(len(x) for x, _, _ in held) >= PAIRS:
+                yield from checked()
+        if held:
+            yield from checked()
+
 
 def item_pieces(items: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
     """(number of the item, terms) of pieces of at most PASSAGE words."""
@@ -415,7 +446,7 @@ def search(terms: DataFrame, items: list[tuple[int, np.ndarray]], latent: np.nda
             doc, first, k = blocks(np.diff(starts), BLOCK)
             s = np.zeros((len(doc) + gap * len(docs), latent.shape[1]), np.float32)
             place = np.arange(len(doc)) + gap * doc
-            s[place] = sums(latent, ids, w[ids] > 0, first)
+            block_sums(latent, ids, starts, s, place)
             near: list[tuple[np.ndarray, ...]] = []
             t = s.copy()
             for n in range(2, gap + 2):
@@ -433,10 +464,11 @@ def search(terms: DataFrame, items: list[tuple[int, np.ndarray]], latent: np.nda
                     near.append((some[i], owner[cols[c]], dot[i, c] / length[i], np.full(len(i), n)))
             r, it, cos, n = (np.concatenate(x) for x in zip(*near))
             done: set[tuple[int, int]] = set()
-            for i in np.argsort(-cos, kind="stable"):
+            order = np.argsort(-cos, kind="stable")
+            # the closest window of a document and an item; the others' words are among the stretches below
+            order = order[np.unique(doc[r[order]] * len(items) + it[order], return_index=True)[1]]
+            for i in order:
                 pair = (int(doc[r[i]]), int(it[i]))
-                if pair in done:
-                    continue
                 item = ready_item(pair[1])
                 d, at = docs[pair[0]], int(k[r[i]]) * BLOCK
                 around = d[max(0, at - item.n // 2) : at + max(int(n[i]) * BLOCK, item.n) + item.n // 2].tolist()
@@ -445,7 +477,7 @@ def search(terms: DataFrame, items: list[tuple[int, np.ndarray]], latent: np.nda
                     done.add(pair)
                     yield b.column(0)[pair[0]].as_py(), item.item_id, float(cos[i]), common, item.n
             for g in groups:
-                for d, number, first_word, end, common in g.found(ids, starts):
+                for d, number, first_word, end, common in g.found(ids, starts, done):
                     if (d, number) in done:
                         continue
                     item, words = ready_item(number), ids[first_word:end]
