@@ -75,6 +75,29 @@ def payload(a: First, fields: Fields, df: DataFrame) -> Column:
     return F.struct(F.col("_id"), *[fields.output(n) for n in a.projection])
 
 
+def reversed_order(c: Column, kind: T.DataType) -> Column:
+    """A value that orders as c does, the other way round; nulls come last."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[x.alias(f"r{2 * i + k}") for i, f in enumerate(kind) for k, x in enumerate((c[f.name].isNull(), reversed_order(c[f.name], f.dataType)))])
+    if isinstance(kind, T.ArrayType):
+        each = F.transform(c, lambda x: F.struct(F.lit(False).alias("end"), x.isNull().alias("none"), reversed_order(x, kind.elementType).alias("value")))
+        end = F.struct(F.lit(True).alias("end"), F.lit(True).alias("none"), reversed_order(F.lit(None).cast(kind.elementType), kind.elementType).alias("value"))
+        return F.concat(each, F.array(end))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.concat(F.translate(F.hex(c.cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(c)
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return -F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.NumericType):
+        return -c
+    raise ValueError(f"an _id of type {kind.simpleString()} has no order")
+
+
 def group_key(g: GroupBy, fields: Fields) -> Column:
     if g.each:
         return F.explode_outer(F.array_distinct(F.concat(fields.terms(g.field), F.transform(fields.values(g.field, "n"), lambda x: x.cast("string")))))
@@ -126,7 +149,7 @@ def _own(df: DataFrame, fields: Fields, own: list, by: list[tuple[str, Column]])
             continue
         descending = bool(ks) and ks[0][1]
         least = descending == a.last  # the least key comes out
-        rank = F.struct(*[k.alias(f"k{i}") for i, (k, _) in enumerate(ks)], (F.col("_id") if least else -F.col("_id")).alias("id"))
+        rank = F.struct(*[k.alias(f"k{i}") for i, (k, _) in enumerate(ks)], *(x.alias(f"id{i}") for i, x in enumerate([F.col("_id")] if least else [F.col("_id").isNull(), reversed_order(F.col("_id"), visible.schema["_id"].dataType)])))
         aggs.append((F.min_by if least else F.max_by)(payload(a, fields, visible), rank).alias(a.alias))
     if not windows:
         return df.groupBy(*groups).agg(*aggs)
