@@ -21,6 +21,7 @@ class Collection:
     def __init__(self, df: DataFrame, fields: Fields, strict: bool = False, filters: dict[str, q.Query] | None = None):
         self.df, self.fields, self.strict = df, fields, strict
         self.filters = filters if filters is not None else {}
+        self.held: dict[str, tuple[q.Query, DataFrame]] = {}
 
     @classmethod
     def of(cls, df: DataFrame, key: str | Column, config: IndexConfig | None = None, strict: bool = False) -> Collection:
@@ -38,7 +39,23 @@ class Collection:
         return q.Named(name, query)
 
     def filtered(self, query: q.Query) -> DataFrame:
-        return self.df.filter(condition(query, self.fields))
+        """Matching rows. Held filters that the query demands, or rules out, are joined by their _ids and not computed again."""
+        query = q.simplify(query)
+        rows, rest = self.df, []
+        for part in query.parts if isinstance(query, q.And) else [query]:
+            inner = part.part if isinstance(part, q.Not) else part
+            known, ids = self.held.get(inner.name, (None, None)) if isinstance(inner, q.Named) else (None, None)
+            if ids is not None and known == inner.part:
+                rows = rows.join(ids, "_id", "left_semi" if part is inner else "left_anti")
+            else:
+                rest.append(part)
+        return rows.filter(condition(q.and_(*rest), self.fields))
+
+    def hold(self, name: str, path: str) -> None:
+        """Writes the _ids of a registered filter once; queries that name it then read these."""
+        self.filtered(self.filters[name]).select("_id").write.mode("ignore").parquet(path)
+        ids = self.df.sparkSession.read.schema(self.df.select("_id").schema).parquet(path)
+        self.held[name] = (q.simplify(self.filters[name]), ids)
 
     def query(self, query: q.Query, sort: Sort | None = None, limit: int | None = None, projection: list[str] | None = None) -> DataFrame:
         """Matching rows as _id and the projection; a sort without a limit gives IMPLICIT_LIMIT rows."""
@@ -71,8 +88,11 @@ class Collection:
     def names(self) -> list[str]:
         return sorted(set(self.fields.names()) | set(self.fields.config.fields))
 
-    def terms(self, name: str) -> DataFrame:
-        return self.vocabulary(name).select("term").orderBy("term")
+    def terms(self, name: str, kind: str = "s") -> DataFrame:
+        """Distinct terms of a field in order; its numbers with kind 'n', its booleans with kind 'b'."""
+        if kind == "s":
+            return self.vocabulary(name).select("term").orderBy("term")
+        return self.df.select(F.explode(self.fields.values(name, kind)).alias("term")).distinct().orderBy("term")
 
     def vocabulary(self, name: str) -> DataFrame:
         return p.vocabulary(self.df, self.fields, name)
@@ -82,7 +102,8 @@ class Collection:
 
     def query_postings(self, query: q.Query, index: DataFrame, projection: list[str] | None = None) -> DataFrame:
         """As `query`, by way of a table of postings."""
-        ids = p.matching(query, index, self.df)
+        ids = p.leading(query, index, self.df)
+        ids = p.matching(query, index, self.df) if ids is None else ids
         return self.df.join(ids, "_id", "left_semi").select("_id", *self.projected(projection))
 
     def kept(self, name: str, path: str) -> Collection:

@@ -5,8 +5,6 @@ Every answer is an expression: terms, numbers and booleans of a field as arrays,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +13,7 @@ from ..config import ALL_FIELD, FieldConfig, IndexConfig
 from ..functions.analyzers import over
 from ..functions.flatten import FIELDS, SAFE, Path, paths
 
-ALL_NAMES = (ALL_FIELD, "£_ALL")
+ALL_NAMES = (ALL_FIELD,)
 COLLATION = "UNICODE_CI_AI"
 _STRINGS, _LONGS, _BOOLEANS = "array<string>", "array<bigint>", "array<boolean>"
 
@@ -150,6 +148,25 @@ class OpenFields(Fields):
     def names(self) -> list[str]:
         return self.known
 
+    def terms(self, name: str | None) -> Column:
+        return over(F.filter(self._all("s"), lambda x: x != ""), self.config.catch_all.analyzer) if self.is_all(name) else super().terms(name)
+
+    def values(self, name: str | None, kind: str) -> Column:
+        return F.filter(self._all(kind), (lambda x: x != 0) if kind == "n" else (lambda x: x)) if self.is_all(name) else super().values(name, kind)
+
+    def _all(self, kind: str) -> Column:
+        """Values of all fields that count among the catch-all's, whatever names the document has."""
+        named = self.config.fields
+        out = [n for n, c in named.items() if not c.in_all]
+        inside = [n for n, c in named.items() if c.in_all]
+        entries = F.map_entries(F.col(FIELDS))
+        if not self.config.default.in_all:
+            entries = F.filter(entries, lambda e: e["key"].isin(inside))
+        elif out:
+            entries = F.filter(entries, lambda e: ~e["key"].isin(out))
+        want = {"s": _STRINGS, "n": _LONGS, "b": _BOOLEANS}[kind]
+        return F.coalesce(F.flatten(F.transform(entries, lambda e: F.coalesce(e["value"][kind], empty(want)))), empty(want))
+
     def raw(self, name: str, kind: str) -> Column:
         want = {"s": _STRINGS, "n": _LONGS, "b": _BOOLEANS}[kind]
         return F.coalesce(F.col(FIELDS)[name][kind], empty(want))
@@ -172,10 +189,6 @@ class OpenFields(Fields):
         return [rank, ~first("b"), first("n"), F.collate(first("s"), COLLATION)]
 
 
-def union_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
-
-
 def stored(config: IndexConfig, names: list[str]) -> list[str]:
     return [n for n in names if config.of(n).stored]
 
@@ -186,4 +199,4 @@ def check_sortable(config: IndexConfig, names: list[str], strict: bool) -> None:
         raise ValueError(f"not stored, so no order: {', '.join(bad)}")
 
 
-__all__ = ["Fields", "FieldConfig", "OpenFields", "TypedFields", "check_sortable", "stored", "union_of"]
+__all__ = ["Fields", "FieldConfig", "OpenFields", "TypedFields", "check_sortable", "stored"]

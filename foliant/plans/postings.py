@@ -1,7 +1,8 @@
 """Queries over an inverted index: a table of (field, term, number, flag, _id).
 
 This pays when terms are rare and documents large: the table is written sorted by field and term, so a lookup reads few row
-groups. A negation needs all ids. The results equal the scan's.
+groups. In a conjunction the part with the fewest postings leads, and of the others only what the lead's ids have is looked at.
+A negation needs all ids. The results equal the scan's.
 """
 
 from __future__ import annotations
@@ -11,33 +12,106 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import ALL_FIELD
+from ..config import ALL_FIELD, FieldConfig, IndexConfig
+from ..functions.analyzers import over
+from ..functions.flatten import FIELDS
 from ..operators import query as q
-from ..operators.fields import Fields
+from ..operators.fields import ALL_NAMES, Fields, OpenFields
+
+ROW = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField("number", T.LongType()), T.StructField("flag", T.BooleanType())])
+SMALL = 1_000_000  # ids that are broadcast at most, 8 MB of them
+
+
+def _row(label: Column, kind: str | None = None, value: Column | None = None) -> Column:
+    return F.struct(label.alias("field"), *[(value if k == kind else F.lit(None)).cast(t).alias(k) for k, t in (("term", "string"), ("number", "bigint"), ("flag", "boolean"))])
+
+
+def _rows(label: Column, terms: Column, numbers: Column, flags: Column, present: Column) -> Column:
+    """Distinct values of one field of one row, and one row of nulls where the field is present."""
+    made = lambda kind: lambda x: _row(label, kind, x)
+    each = [F.transform(F.array_distinct(v), made(k)) for k, v in (("term", terms), ("number", numbers), ("flag", flags))]
+    return F.concat(*each, F.when(present, F.array(_row(label))).otherwise(F.array().cast(T.ArrayType(ROW))))
 
 
 def postings(df: DataFrame, fields: Fields, names: list[str] | None = None, with_all: bool = True) -> DataFrame:
     """One row for each distinct term, number or flag of each field of each row, and one of nulls where the field is present."""
-    names = fields.names() if names is None else names
-
-    def of(name: str, label: str) -> list[Column]:
-        none = F.lit(None)
-        row = lambda t, n, b: F.struct(F.lit(label).alias("field"), t.cast("string").alias("term"), n.cast("bigint").alias("number"), b.cast("boolean").alias("flag"))
-        return [
-            F.transform(F.array_distinct(fields.terms(name)), lambda t: row(t, none, none)),
-            F.transform(F.array_distinct(fields.values(name, "n")), lambda n: row(none, n, none)),
-            F.transform(F.array_distinct(fields.values(name, "b")), lambda b: row(none, none, b)),
-            F.when(fields.present(name), F.array(row(none, none, none))).otherwise(F.array().cast("array<struct<field:string,term:string,number:bigint,flag:boolean>>")),
-        ]
-
-    every = [x for n in names for x in of(n, n)] + (of(ALL_FIELD, ALL_FIELD) if with_all else [])
+    names = [*(fields.names() if names is None else names), *([ALL_FIELD] if with_all else [])]
+    every = [_rows(F.lit(n), fields.terms(n), fields.values(n, "n"), fields.values(n, "b"), fields.present(n)) for n in names]
     return df.select("_id", F.explode(F.concat(*every)).alias("p")).select("p.*", "_id")
 
 
+def open_postings(df: DataFrame, config: IndexConfig) -> DataFrame:
+    """The same for open documents, whatever names their fields have: a document's own are gone through, not those of all."""
+
+    def values(e: Column, kind: str) -> Column:
+        return F.coalesce(e["value"][kind], F.array().cast({"s": "array<string>", "n": "array<bigint>", "b": "array<boolean>"}[kind]))
+
+    def of(e: Column, c: FieldConfig) -> Column:
+        none = lambda t: F.array().cast(f"array<{t}>")
+        s, n, b = (values(e, k) for k in "snb")
+        if not c.searchable:
+            return _rows(e["key"], none("string"), none("bigint"), none("boolean"), F.lit(c.stored))
+        terms = over(s, c.analyzer)
+        any_ = F.lit(True) if c.stored else (F.size(terms) > 0) | (F.size(n) > 0) | (F.size(b) > 0)
+        return _rows(e["key"], terms, n, b, any_)
+
+    def one(e: Column) -> Column:
+        out = of(e, config.default)
+        for name in config.fields:
+            out = F.when(e["key"] == name, of(e, config.fields[name])).otherwise(out)
+        return out
+
+    fields = OpenFields([], config)
+    own = F.flatten(F.transform(F.map_entries(FIELDS), one))
+    everything = _rows(F.lit(ALL_FIELD), fields.terms(None), fields.values(None, "n"), fields.values(None, "b"), fields.present(ALL_FIELD))
+    return df.select("_id", F.explode(F.concat(own, everything)).alias("p")).select("p.*", "_id")
+
+
 def write(index: DataFrame, path: str) -> None:
-    """Sorted by field and term, so that readers skip what they don't look for."""
-    index.repartitionByRange("field", "term", "number").sortWithinPartitions("field", "term", "number").write.parquet(path)
+    """Sorted by field and term, so that readers skip what they don't look for; a term of very many rows is spread by their _ids."""
+    index.repartitionByRange("field", "term", "number", "_id").sortWithinPartitions("field", "term", "number", "_id").write.parquet(path)
+
+
+def leading(query: q.Query, index: DataFrame, universe: DataFrame, most: int | None = None) -> DataFrame | None:
+    """_ids of the matching rows, found from the postings; None where these can't answer, or let more than `most` rows match.
+
+    The leaves' postings are counted first, a read of a few row groups each. What a conjunction can match is bounded by its
+    least part, a disjunction by the sum of its parts. The least part of a conjunction leads.
+    """
+    query = q.simplify(query)
+    leaves = list(dict.fromkeys(_leaves(query)))
+    if not leaves or any(isinstance(x, q.Contains) for x in leaves):
+        return None
+    tests = [F.coalesce(_test(x), F.lit(False)) for x in leaves]
+    counted = index.filter(reduce(or_, tests)).agg(*[F.count_if(t).alias(f"c{k}") for k, t in enumerate(tests)]).first()
+    sizes = dict(zip(leaves, counted))
+    bound = _bound(query, sizes)
+    if bound is None or (most is not None and bound > most):
+        return None
+    lead = min((x for x in query.parts if _bound(x, sizes) is not None), key=lambda x: _bound(x, sizes)) if isinstance(query, q.And) else None
+    if lead is None:
+        return matching(query, index, universe)
+    first = matching(lead, index, universe)
+    first = F.broadcast(first) if bound <= SMALL else first
+    rest = [x for x in query.parts if x != lead]
+    # what the lead doesn't have need not be looked at, and what it has is the universe of the rest
+    return matching(q.And(tuple(rest)), index.join(first, "_id", "left_semi"), first) if rest else first
+
+
+def _bound(x: q.Query, sizes: dict[q.Query, int]) -> int | None:
+    """The most rows that can match; None if there is no telling."""
+    if isinstance(x, (q.And, q.Or)):
+        parts = [_bound(p, sizes) for p in x.parts]
+        if isinstance(x, q.And):
+            return min((b for b in parts if b is not None), default=None)
+        return None if None in parts else sum(parts)
+    if isinstance(x, q.Named):
+        return _bound(x.part, sizes)
+    if isinstance(x, q.Nothing):
+        return 0
+    return sizes.get(x)
 
 
 def matching(query: q.Query, index: DataFrame, universe: DataFrame) -> DataFrame:
@@ -93,7 +167,7 @@ def _empty_matches(x: q.Query) -> bool:
 
 def _test(x: q.Query) -> Column:
     """Which rows of the index a leaf looks for."""
-    name = ALL_FIELD if x.field is None or x.field == "£_ALL" else x.field
+    name = ALL_FIELD if x.field is None or x.field in ALL_NAMES else x.field
     if isinstance(x, q.HasToken):
         kinds = {"term": [v for v in x.values if isinstance(v, str)], "flag": [v for v in x.values if isinstance(v, bool)]}
         c = reduce(or_, [F.coalesce(F.col(k).isin(v), F.lit(False)) for k, v in kinds.items() if v], F.lit(False))
