@@ -2,26 +2,30 @@
 
 Every document's set of three-word shingles gets TREES x DEPTH minimum hashes. Each tree orders all documents by its own
 DEPTH values, so that those with the longest common prefixes lie side by side. Documents that share the first LEAST values
-of an order form a region, and all pairs of a region are compared by their whole signatures. Depth follows the
-density: Spark counts the regions first, and where one holds over SMALL documents, they are split by the next
-value, and so on down to the full depth; so no task holds a dense region, and its neighbours are those of longer common
-prefixes. What is left beyond SMALL at the full depth, documents alike in all values of an order, is compared in random
-parts and with the least of the whole (which counts no links).
-
-Pairs whose estimate is at most LOOSE under the threshold are candidates; from SURE above it on they are accepted (an estimate
-that is five standard deviations off), and the exact Jaccard similarity of the shingle sets decides on all others, so chance
+of an order form a region, and all pairs of a region are compared by their whole signatures. One of over SMALL documents
+is compared in blocks of about SMALL by SMALL, so that no task holds it. Depth follows the density: where a region holds over
+SMALL x MANY documents, they are split by the next value, and so on down to the full depth.
+
+What no order brings together is found by twos: the values of a signature are taken in threes, and texts that have two values of
+a three in common are compared too, whatever the orders missed, by chance or because a region was split. So a pair that shares over a third
+of the values always is compared, and one of similarity s is missed with probability ((1-s)**2 * (1+2*s))**32 at most: 2e-10 at 0.5.
+
+Pairs whose estimate is at most LOOSE under the threshold are candidates; from SURE above it on they are accepted (estimates
+that are five standard deviations off), and the exact Jaccard similarity of the shingle sets decides on all others, so chance
 estimates join nobody. Documents of the same shingles are joined beforehand and enter the orders as one, so thousands of copies
-cost what one costs. Groups are the connected components of the joined pairs; all links found between different texts are
-counted.
+cost what one costs. Groups are the connected components of the joined pairs; all links between different texts are
+counted. What can still differ from comparing all sets are equal hashes of unlike shingles or regions (32 bits each), and estimates five
+standard deviations off (5e-7 of pairs at the threshold).
 
-No pair is ever written. A pair belongs to the first order in which it shares a region, so each is looked at once; a
+A pair that shares a region is never written. It belongs to the first order in which it does, so each is looked at once; a
 region gives out how many links each of its texts has, edges that span what is joined, and which texts need their sets. Those
-are sent once to each such region, which decides there and gives out the like. So all that moves is linear in documents,
-though links in a cluster grow as its square.
+are sent once to each such region, which decides there and gives out the like. So what moves is linear in documents,
+though links in a cluster grow as its square; only regions over SMALL are sent once for each of their blocks. Pairs that share
+no region are written, if they are candidates.
 
 A pair of similarity s is seen in one order of depth d with probability
-s**d, hence in some order with 1-(1-s**d)**TREES: at depth 2 with 0.968 at 0.5, 0.997 at 0.6, above 0.9999 at 0.75; in a region
-that had to be split once with 0.80, 0.94 and 0.998, though the other orders split elsewhere.
+s**d, hence in some order with 1-(1-s**d)**TREES: at depth 2 with 0.968 at 0.5, 0.997 at 0.6, above 0.9999 at 0.75. The twos
+find the rest.
 
 Defined results: null or wordless texts, and rows with a null doc_id, belong to no group. Texts of one or two words are one shingle. Case and ASCII
 punctuation don't count. Repeated rows of one doc_id are one document: `near_duplicates` doesn't list them for
@@ -45,8 +49,10 @@ TREES, DEPTH, LEAST = 12, 8, 2
 HASHES = TREES * DEPTH
 SHINGLE = 3
 THRESHOLD = 0.5
-SMALL = 1024
-LOOSE, SURE = 0.15, 0.25
+SMALL, MANY = 1024, 32
+LOOSE, SURE = 0.25, 0.25
+TEXTS = 1 << 14  # whose twos are sorted at once
+TWOS = [(k + i, k + j) for k in range(0, HASHES, 3) for i, j in ((0, 1), (0, 2), (1, 2))]
 FEW = 1_000_000  # ids, of eight bytes, up to which they are broadcast
 
 _r = np.random.default_rng(20240229)
@@ -129,52 +135,108 @@ def likeness(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
     return ((sig == other).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def placed(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tree, region, node, sig, regions) of every text in every order, from (node, keys, sig); regions has 32 bits of that of each order.
+def placed(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(tree, region, node, size) of every text in every order where it isn't alone, and (node, sig, regions), from (node, keys, sig); regions has 32 bits of that of each order.
 
-    No region is above SMALL. Dense ones are few (one in SMALL rows at most), so their table is small beside the orders;
+    Regions that go deeper are few (one in SMALL x MANY rows at most), so their table is small beside the orders;
     Spark joins it by its size, and splits the orders' side where a region is hot.
     """
     prefix = lambda d: F.substring("key", 1, 2 * d)
     region = lambda *more: F.xxhash64("tree", *more)
+    upper = lambda r: F.shiftright(r, 32).cast("int")
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("keys", 1 + t * 2 * DEPTH, 2 * DEPTH).alias("key")) for t in range(TREES)])
     rows = texts.select("node", F.explode(trees).alias("x")).select("x.tree", "x.key", "node", F.lit(LEAST).alias("depth"))
-    dense = None
-    for d in range(LEAST, DEPTH + 1):
-        counted = rows.filter(F.col("depth") == d).groupBy(region(prefix(d)).alias("dense")).agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"))
-        dense = scratch.save(counted.filter(F.col("size") > SMALL), f"dense-{d}")
+    sized = lambda rows, name: scratch.save(rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), name)
+    for d in range(LEAST, DEPTH):
+        sizes = sized(rows.filter(F.col("depth") == d).select(region(prefix(d)).alias("region")), f"sizes-{d}")
+        dense = sizes.filter(F.col("size") > SMALL * MANY).select(F.col("region").alias("dense"))
         if not dense.limit(1).count():
             break
-        if d < DEPTH:
-            rows = rows.join(dense.select("dense"), region(prefix(d)) == F.col("dense"), "left").withColumn("depth", F.when(F.col("dense").isNotNull(), d + 1).otherwise(F.col("depth"))).drop("dense")
+        rows = rows.join(dense, (F.col("depth") == d) & (region(prefix(d)) == F.col("dense")), "left").withColumn("depth", F.when(F.col("dense").isNotNull(), d + 1).otherwise(F.col("depth"))).drop("dense")
     else:
-        rows = rows.join(dense, (F.col("depth") == DEPTH) & (region(prefix(DEPTH)) == F.col("dense")), "left")
-    upper = lambda r: F.shiftright(r, 32).cast("int")
+        d = DEPTH
     if d == LEAST:
         heads = texts.withColumn("heads", F.transform(trees, lambda x: F.xxhash64(x["tree"], F.substring(x["key"], 1, 2 * LEAST))))
-        return heads.select("node", "sig", F.transform("heads", upper).alias("regions"), F.posexplode("heads").alias("tree", "region"))
-    at = F.expr("substring(key, 1, 2 * depth)")
-    if "lead" not in rows.columns:
-        found = rows.withColumn("region", region(at)).withColumn("also", F.array().cast("array<bigint>"))
-    else:  # random parts of what is alike in all values, and the least of the whole in each of them
-        parts = F.ceil(F.col("size") / SMALL)
-        own = F.pmod(F.xxhash64("node"), parts)
-        mine = F.when(F.col("size").isNull(), region(at)).otherwise(region(at, own))
-        others = F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda k: region(at, k)), lambda r: r != mine)
-        found = rows.withColumn("region", mine).withColumn("also", F.when(F.col("node") == F.col("lead"), others).otherwise(F.array().cast("array<bigint>")))
-    found = scratch.save(found.select("tree", "node", "region", "also"), "regions")
-    mine = found.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("tree", upper("region").alias("region")))).alias("r"))  # TREES of them
-    every = found.select("tree", "node", F.explode(F.concat(F.array("region"), "also")).alias("region"))
-    return every.join(mine.select("node", F.col("r.region").alias("regions")), "node").join(texts.select("node", "sig"), "node").select("node", "sig", "regions", "tree", "region")
-
-
-RESULTS = "kind int, region long, a long, b long, tree int, sig binary, regions array<int>"
-EDGE, LINKS, NEEDS = 0, 1, 2  # a and b are joined; a has b links more; a's set is needed in the region, and here is its row
+        found, own = heads.select("node", F.posexplode("heads").alias("tree", "region")), heads.select("node", "sig", F.transform("heads", upper).alias("regions"))
+    else:
+        found = scratch.save(rows.select("tree", "node", region(F.expr("substring(key, 1, 2 * depth)")).alias("region")), "regions")
+        mine = found.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("tree", upper("region").alias("region")))).alias("r"))  # TREES of them
+        own = scratch.save(mine.join(texts.select("node", "sig"), "node").select("node", "sig", F.col("r.region").alias("regions")), "own")
+        sizes = sized(found, "sizes")
+    return found.join(sizes, "region").select("tree", "region", "node", "size"), own
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(tree, region, side, node), where regions of over SMALL are cut into random parts and each two parts are a region; side is 0 or 1 then, and only pairs of both sides count, else 2."""
+    parts = F.ceil(F.col("size") / SMALL)
+    each = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    region = F.when(F.col("size") <= SMALL, F.col("region")).otherwise(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    return each.select("tree", region.alias("region"), side.alias("side"), "node")
+
+
+def twos(texts: DataFrame, buckets: int) -> DataFrame:
+    """bucket, twos, nodes: TWOS of each text with their values, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(at, TEXTS)
+                keys = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2").reshape(-1, HASHES).astype(np.uint64)
+                two = np.stack([keys[:, i] << np.uint64(16) | keys[:, j] | np.uint64(n << 32) for n, (i, j) in enumerate(TWOS)], 1).ravel()
+                node = np.repeat(b.column(0).to_numpy(), len(TWOS))
+                bucket = ((two * _C[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                two, node, bucket = two[order], node[order], bucket[order]
+                cuts = np.flatnonzero(np.diff(bucket)) + 1
+                rows = lambda a: pa.array([x.tobytes() for x in np.split(a, cuts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[np.append(0, cuts)]), rows(two), rows(node)], names=["bucket", "twos", "nodes"])
+
+    return in_arrow(texts.select("node", "keys"), run, "bucket int, twos binary, nodes binary")
+
+
+def sharing(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(tree, region, node, size) of texts that share one of TWOS. Texts that share it are a region; those with the same least and greatest node
+    give one together, so a cluster is not sent for each of its twos."""
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(t: pa.Table) -> pa.Table:
+        two, nodes = np.frombuffer(b"".join(t.column("twos").to_pylist()), np.uint64), np.frombuffer(b"".join(t.column("nodes").to_pylist()), np.int64)
+        order = np.argsort(two, kind="stable")
+        near = two[order]
+        near = np.flatnonzero(near[1:] == near[:-1])
+        order = order[np.unique(np.append(near, near + 1))]  # others are of one text
+        order = order[np.lexsort((nodes[order], two[order]))]
+        two, nodes = two[order], nodes[order]
+        starts = np.flatnonzero(np.append(True, two[1:] != two[:-1])) if len(two) else np.zeros(0, np.int64)
+        if not len(starts):
+            return pa.table({"region": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+        ends = np.append(starts[1:], len(two))
+        least, most = nodes[starts].view(np.uint64), nodes[ends - 1].view(np.uint64)
+        y = least * _C[0]
+        y ^= y >> np.uint64(32)
+        y = (y + most) * _C[1]
+        y ^= y >> np.uint64(29)
+        name, node = np.repeat((y * _C[2]).view(np.int64), ends - starts), nodes
+        order = np.lexsort((node, name))
+        name, node = name[order], node[order]
+        new = np.ones(len(node), bool)
+        new[1:] = (name[1:] != name[:-1]) | (node[1:] != node[:-1])
+        return pa.table({"region": name[new], "node": node[new]})
+
+    found = twos(texts, buckets).groupBy("bucket").applyInArrow(run, "region long, node long").distinct()
+    found = scratch.save(found, "sharing")
+    sizes = found.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(sizes, "region").select(F.lit(TREES).alias("tree"), "region", "node", "size")
+
+
+RESULTS = "kind int, region long, a long, b long, tree int, side int, sig binary, regions array<int>"
+EDGE, LINKS, NEEDS, PAIR = 0, 1, 2, 3  # a and b are joined; a has b links more; a's set is needed in the region, and here is its row; a and b share no region of the orders
 
 
 def by_region(rows: DataFrame, decide) -> DataFrame:
-    """RESULTS of each region, from rows (region, tree, node, sig, regions and, at times, set); `decide` gets a region's."""
-    lined = rows.repartition("region").sortWithinPartitions("region", "node")
+    """RESULTS of each region, from rows (region, tree, side, node, sig, regions and, at times, set); `decide` gets a region's."""
+    lined = rows.repartition("region").sortWithinPartitions("region", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -182,7 +244,7 @@ def by_region(rows: DataFrame, decide) -> DataFrame:
         def all_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             """Results of some whole regions."""
             t = pa.Table.from_batches(parts).combine_chunks()
-            names, tree, nodes = (t.column(k).to_numpy() for k in ("region", "tree", "node"))
+            names, tree, side, nodes = (t.column(k).to_numpy() for k in ("region", "tree", "side", "node"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
             regions = t.column("regions").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
             sets = t.column("set") if "set" in t.column_names else None
@@ -190,12 +252,12 @@ def by_region(rows: DataFrame, decide) -> DataFrame:
             out = []
             for low, high in zip(starts, np.append(starts[1:], len(nodes))):
                 if high - low > 1:
-                    for kind, a, b in decide(nodes[low:high], sig[low:high], regions[low:high, : tree[low]], regions[low:high, tree[low]] != names[low] >> 32, None if sets is None else sets.slice(low, high - low)):
+                    for kind, a, b in decide(nodes[low:high], sig[low:high], regions[low:high, : tree[low]], side[low:high], None if sets is None else sets.slice(low, high - low)):
                         out.append((np.full(len(a), kind), np.full(len(a), names[low]), a, b + low if kind == NEEDS else b))
             kind, region, a, b = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
             at = pa.array(b, mask=kind != NEEDS)  # of those, b is the row's number
-            more = [t.column(c).combine_chunks().take(at) for c in ("tree", "sig", "regions")]
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(region), pa.array(a), pa.array(b), *more], names=["kind", "region", "a", "b", "tree", "sig", "regions"])
+            more = [t.column(c).combine_chunks().take(at) for c in ("tree", "side", "sig", "regions")]
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(region), pa.array(a), pa.array(b), *more], names=["kind", "region", "a", "b", "tree", "side", "sig", "regions"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -218,8 +280,8 @@ def by_region(rows: DataFrame, decide) -> DataFrame:
 class Joined:
     """What is joined in a region, and how often each text is linked."""
 
-    def __init__(self, n: int, guest: np.ndarray):
-        self.root, self.links, self.edges, self.guest = list(range(n)), np.zeros(n, np.int64), [], guest
+    def __init__(self, n: int):
+        self.root, self.links, self.edges = list(range(n)), np.zeros(n, np.int64), []
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -227,9 +289,8 @@ class Joined:
         return i
 
     def join(self, i: int, others: np.ndarray) -> None:
-        counted = others[~self.guest[others] & ~self.guest[i]]  # a guest may meet the same texts in other orders
-        self.links[i] += len(counted)
-        self.links[counted] += 1
+        self.links[i] += len(others)
+        self.links[others] += 1
         for j in others.tolist():
             x, y = self.find(i), self.find(j)
             if x != y:
@@ -244,21 +305,33 @@ class Joined:
             yield EDGE, nodes[e[:, 0]], nodes[e[:, 1]]
 
 
+def alike(sig: np.ndarray, before: np.ndarray, side: np.ndarray, low: float, high: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """i, the rows after it whose estimate is from low to below high and that share no region of `before` with it, and their estimates."""
+    right = int(np.searchsorted(side, 1))  # rows are ordered by side
+    for i in range(len(sig) - 1 if side[0] == 2 else right):
+        j = max(i + 1, right) if side[0] != 2 else i + 1
+        like = likeness(sig[j:], sig[i])
+        hit = np.flatnonzero((like >= low) & (like < high))
+        hit = hit[~(before[j + hit] == before[i]).any(1)]
+        if len(hit):
+            yield i, j + hit, like[hit]
+
+
 def estimated(threshold: float):
     """Decides on a region by the signatures alone; names the texts whose sets are needed for the rest."""
     least, sure = threshold - LOOSE, min(threshold + SURE, 0.95)
 
-    def decide(nodes: np.ndarray, sig: np.ndarray, before: np.ndarray, guest: np.ndarray, sets) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        joined, needs = Joined(len(nodes), guest), np.zeros(len(nodes), bool)
-        for i in range(len(nodes) - 1):
-            like = likeness(sig[i + 1 :], sig[i])
-            hit = np.flatnonzero(like >= least)
-            hit = hit[~(before[i + 1 + hit] == before[i]).any(1)]
-            if len(hit):
-                over = like[hit] >= sure
-                joined.join(i, i + 1 + hit[over])
-                if not over.all():
-                    needs[i] = needs[i + 1 + hit[~over]] = True
+    def decide(nodes: np.ndarray, sig: np.ndarray, before: np.ndarray, side: np.ndarray, sets) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if before.shape[1] == TREES:  # these may meet again, so pairs are named
+            for i, hit, _ in alike(sig, before, side, least, np.inf):
+                yield PAIR, np.minimum(nodes[i], nodes[hit]), np.maximum(nodes[i], nodes[hit])
+            return
+        joined, needs = Joined(len(nodes)), np.zeros(len(nodes), bool)
+        for i, hit, like in alike(sig, before, side, least, np.inf):
+            over = like >= sure
+            joined.join(i, hit[over])
+            if not over.all():
+                needs[i] = needs[hit[~over]] = True
         yield from joined.results(nodes)
         yield NEEDS, nodes[needs], np.flatnonzero(needs)
 
@@ -269,15 +342,12 @@ def exact(threshold: float):
     """Decides on the pairs of a region that the signatures leave in doubt by their sets."""
     least, sure = threshold - LOOSE, min(threshold + SURE, 0.95)
 
-    def decide(nodes: np.ndarray, sig: np.ndarray, before: np.ndarray, guest: np.ndarray, sets) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        joined = Joined(len(nodes), guest)
+    def decide(nodes: np.ndarray, sig: np.ndarray, before: np.ndarray, side: np.ndarray, sets) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        joined = Joined(len(nodes))
         own = [np.frombuffer(x.as_buffer(), np.uint32) for x in sets]
         size = np.array([len(x) for x in own])
-        for i in range(len(nodes) - 1):
-            like = likeness(sig[i + 1 :], sig[i])
-            hit = np.flatnonzero((like >= least) & (like < sure))
-            hit = i + 1 + hit[~(before[i + 1 + hit] == before[i]).any(1)]
-            for part in np.split(hit, np.flatnonzero(np.diff(np.cumsum(size[hit]) >> 20)) + 1) if len(hit) else ():  # about a million shingles at once
+        for i, hit, _ in alike(sig, before, side, least, sure):
+            for part in np.split(hit, np.flatnonzero(np.diff(np.cumsum(size[hit]) >> 20)) + 1):  # about a million shingles at once
                 x = np.concatenate([own[j] for j in part])
                 at = np.minimum(np.searchsorted(own[i], x), size[i] - 1)
                 both = np.add.reduceat((own[i][at] == x).astype(np.int64), np.cumsum(size[part]) - size[part])
@@ -287,6 +357,22 @@ def exact(threshold: float):
     return decide
 
 
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of texts whose sets meet the threshold."""
+    of = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                kept[k] = both >= threshold * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    return in_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
+
+
 def shingle_table(documents: DataFrame) -> DataFrame:
     """node, set: the sorted distinct shingles of a text, four bytes each."""
 
@@ -328,27 +414,33 @@ def groups(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     # the keys and signatures of equal shingles are equal
     texts = scratch.save(sigs.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "texts")
     least = texts.select("node", "rep")
-    first = scratch.save(by_region(placed(texts, scratch), estimated(threshold)), "estimated")
-    needs = first.filter(F.col("kind") == NEEDS).select("region", F.col("a").alias("node"), "tree", "sig", "regions")
-    ids = scratch.save(least.join(needs.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    orders, own = placed(texts, scratch)
+    shared = sharing(texts, scratch)
+    first = scratch.save(by_region(in_blocks(orders.union(shared)).join(own, "node"), estimated(threshold)), "estimated")
+    needs = first.filter(F.col("kind") == NEEDS).select("region", F.col("a").alias("node"), "tree", "side", "sig", "regions")
+    pairs = scratch.save(first.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
+    wanted = needs.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    ids = scratch.save(least.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     few = ids.count() <= FEW
     some = worded(documents).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = scratch.save(shingle_table(spread(some)).dropDuplicates(["node"]), "sets")
     second = scratch.save(by_region(needs.join(sets, "node"), exact(threshold)), "exact")
+    apart = scratch.save(verified(pairs, sets, threshold), "apart")
     every = first.union(second).select("kind", "a", "b")
-    edges = every.filter(F.col("kind") == EDGE)
+    edges = every.filter(F.col("kind") == EDGE).select("a", "b").union(apart)
     rep = lambda n: least.select(F.col("node").alias(n), F.col("rep").alias(f"rep_{n}"))
     between = edges.select("a", "b").join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     equal = members.join(least, "node").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = components(between.union(equal).filter("a <> b").distinct(), scratch).select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"))
-    counted = every.filter(F.col("kind") == LINKS).groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    one = lambda n: apart.select(F.col(n).alias("a"), F.lit(1).cast("bigint").alias("b"))
+    counted = every.filter(F.col("kind") == LINKS).select("a", "b").union(one("a")).union(one("b")).groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     links = scratch.save(members.join(counted, "node").groupBy("doc_id").agg(F.sum("links").alias("links")), "links")
-    scratch.remove(sigs, members, texts, first, ids, sets, second)
+    scratch.remove(sigs, members, texts, first, pairs, ids, sets, second, apart)
     return found, links, scratch
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, group_id, keep, links: every document that resembles another, with the number of different texts found to
+    """doc_id, group_id, keep, links: every document that resembles another, with the number of different texts that
     resemble it; the least doc_id of its group is kept."""
     found, links, _ = groups(documents, threshold)
     return found.join(links, "doc_id", "left").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"), F.coalesce("links", F.lit(0)).alias("links"))

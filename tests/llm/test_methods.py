@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import random
@@ -134,6 +135,31 @@ def test_pairs_near_the_threshold_are_found(spark):
         assert any(jaccard(sets[i], sets[j]) >= neardup.THRESHOLD for j, h in got.items() if h == g and j != i)
 
 
+def test_no_link_is_left_out(spark, monkeypatch):
+    """Pairs at the threshold, which the orders miss by chance, and a crowd whose regions are cut into blocks or go deeper: links are those of brute force."""
+    r = random.Random(31)
+    rows = []
+    for k in range(150):
+        words = [f"p{k}n{i}" for i in range(102)]
+        edge = r.randint(30, 35)  # similarity 0.48 to 0.55
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[edge:] + [f"q{k}n{i}" for i in range(edge)]))]
+    base = [f"w{k}" for k in range(120)]
+    for k in range(70):
+        share = r.choice((0.02, 0.06, 0.1))
+        rows.append((1000 + k, " ".join(w if r.random() > share else f"x{k}y{i}" for i, w in enumerate(base)) + f" t{k}"))
+    sets = {i: set(neardup.shingles(*hashed_words([t]))[0].tolist()) for i, t in rows}
+    want = [p for p in itertools.combinations(sets, 2) if jaccard(sets[p[0]], sets[p[1]]) >= neardup.THRESHOLD]
+    degree = collections.Counter(itertools.chain.from_iterable(want))
+    assert sum(a < 1000 for a, _ in want) > 60 and sum(a >= 1000 for a, _ in want) > 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for small, many in ((1024, 32), (8, 32), (4, 1)):
+        monkeypatch.setattr(neardup, "SMALL", small)
+        monkeypatch.setattr(neardup, "MANY", many, raising=False)
+        got = {x.doc_id: x for x in neardup.near_duplicates(df).collect()}
+        assert {i: x.links for i, x in got.items() if x.links != degree[i]} == {} and set(got) == set(degree)
+        assert all(got[a].group_id == got[b].group_id for a, b in want)
+
+
 def test_likeness_estimates_jaccard():
     r = random.Random(9)
     words = [f"w{r.randint(0, 10**9)}" for _ in range(400)]
