@@ -98,7 +98,11 @@ class Collection:
         return p.vocabulary(self.df, self.fields, name)
 
     def postings(self, names: list[str] | None = None, with_all: bool = True) -> DataFrame:
-        return p.postings(self.df, self.fields, names, with_all)
+        return p.postings(self.values(names, with_all))
+
+    def values(self, names: list[str] | None = None, with_all: bool = True) -> DataFrame:
+        """What `plans.postings.write` makes a table of postings from."""
+        return p.values(self.df, self.fields, names, with_all)
 
     def query_postings(self, query: q.Query, index: DataFrame, projection: list[str] | None = None) -> DataFrame:
         """As `query`, by way of a table of postings."""

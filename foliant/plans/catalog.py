@@ -18,7 +18,7 @@ from ..operators.query import Groups, Query, all_, and_, contains, not_, number,
 from ..sources.folder import own_folder
 from ..sources.store import Index
 from ..streaming import live
-from .postings import write
+from .postings import unpacked, write
 from .sorting import desc
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -281,9 +281,9 @@ def written_postings(spark: SparkSession, d: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d)
     if key not in _WRITTEN:
         path = own_folder(spark)
-        write(documents(spark, d).postings(["text", "lang"], with_all=False), path)
+        write(documents(spark, d).values(["text", "lang"], with_all=False), path)
         _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    return unpacked(spark.read.parquet(_WRITTEN[key]))
 
 
 def by_postings(name: str, where: str, q: Query) -> None:

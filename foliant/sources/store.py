@@ -1,7 +1,7 @@
 """An index of open documents on storage: batches of documents with their postings, tombstones, and a log of commits.
 
     <path>/docs/commit_id=K/part-*.parquet      _id, _source (JSON), _fields (values by kind)
-    <path>/terms/commit_id=K/part-*.parquet     postings, sorted by field, term and number
+    <path>/terms/commit_id=K/part-*.parquet     postings, packed, sorted by field, term and number
     <path>/deletes/commit_id=K/part-*.parquet   _id
     <path>/log/K.json                           first _id, number of documents, names of fields seen, whose work it is
     <path>/staged/<unique>/                     what no log entry names yet
@@ -40,7 +40,7 @@ from ..plans import postings as p
 
 DOCS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_source", T.StringType()), T.StructField(FIELDS, T.MapType(T.StringType(), VALUES)), T.StructField("commit_id", T.LongType())])
 DELETES = T.StructType([T.StructField("_id", T.LongType()), T.StructField("commit_id", T.LongType())])
-TERMS = T.StructType([*p.ROW.fields, T.StructField("_id", T.LongType()), T.StructField("commit_id", T.LongType())])
+TERMS = T.StructType([*p.stored(T.LongType()).fields, T.StructField("commit_id", T.LongType())])
 ENTRY = "commit_id long, start long, n long, names array<string>, staged string, config string, batch string"
 PARTS = ("docs", "terms", "deletes")
 CHUNK = 10_000  # documents of an iterable that the driver holds at once
@@ -146,7 +146,7 @@ class Index:
         """Documents, and from these the postings; as they were written."""
         docs.write.parquet(f"{own}/docs")
         written = self.spark.read.schema(docs.schema).parquet(f"{own}/docs")
-        p.write(p.open_postings(written, self.config), f"{own}/terms")
+        p.write(p.open_values(written, self.config), f"{own}/terms")
         return written
 
     def follow(self, documents: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -190,7 +190,7 @@ class Index:
         docs = self._read("docs", DOCS, upto).drop("commit_id").join(gone, "_id", "left_anti")
         names = sorted(set().union(*[c["names"] for c in seen])) if seen else []
         mine = fingerprint(self.config)
-        terms = self._read("terms", TERMS, upto).drop("commit_id") if seen and all(c["config"] == mine for c in seen) else None
+        terms = p.unpacked(self._read("terms", TERMS, upto)) if seen and all(c["config"] == mine for c in seen) else None
         return Stored(docs, OpenFields(names, self.config), self.filters, terms, sum(c["n"] for c in seen))
 
     def compact(self, path: str, files: int | None = None) -> Index:
@@ -245,9 +245,9 @@ def _batches(rows: Iterable, size: int) -> Iterable[Iterable]:
 
 
 def fingerprint(config: IndexConfig) -> str:
-    """What decides which postings a document has."""
+    """What decides which postings a document has, and how they are written."""
     def of(c: FieldConfig) -> list:
         return [int(c.flags), c.in_all, None if c.analyzer is None else re.sub(r"_\d+|#\d+", "", c.analyzer(F.col("t"))._jc.toString())]
 
-    every = {"fields": {n: of(c) for n, c in sorted(config.fields.items())}, "default": of(config.default), "catch_all": of(config.catch_all)}
+    every = {"layout": p.LAYOUT, "fields": {n: of(c) for n, c in sorted(config.fields.items())}, "default": of(config.default), "catch_all": of(config.catch_all)}
     return hashlib.sha256(json.dumps(every).encode()).hexdigest()

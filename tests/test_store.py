@@ -10,7 +10,7 @@ from foliant.functions.analyzers import standard
 from foliant.operators import aggregate as a
 from foliant.operators import query as q
 from foliant.operators.collection import Collection
-from foliant.plans.postings import leading
+from foliant.plans.postings import leading, unpacked, write
 from foliant.plans.sorting import desc
 from foliant.sources.store import Index
 from foliant.streaming import live
@@ -136,3 +136,36 @@ def test_held_filters_are_read_not_computed(spark, tmp_path):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "lang#" in plan and "= en" not in plan and found(rows) == [5, 7, 9]
     assert found(c.query(q.not_(en) & q.number_range("n", 5, None))) == [6, 8] and found(c.query(en | q.number(0, "n"))) == [0, 1, 3, 5, 7, 9]
+
+
+def test_postings_are_written_packed(spark, tmp_path, monkeypatch):
+    """A row for a value and not for each of its documents, made in one pass; what a lookup asks reaches the files."""
+    df = spark.createDataFrame([(k, ["the fox", "the the", None, "", "of The fox", f"w{k}"][k % 6], k % 3 or None) for k in range(60)], "id long, t string, n int").coalesce(1)
+    c = Collection.of(df, "id", CONFIG)
+    write(c.values(), str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    rows = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    index = unpacked(stored)
+    assert rows(index) == rows(c.postings()) and stored.count() == index.drop("_id").distinct().count() < index.count() / 3
+    asked = leading(q.token("the", "t") & q.not_(q.token("of", "t")), index, c.df)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert found(asked) == [k for k in range(60) if k % 6 < 2] and "EqualTo(term,the)" in plan and "EqualTo(term,of)" in plan
+    for block in (1, 7):  # of few values
+        small = list(_small_blocks(monkeypatch, c.values(), block))
+        assert sorted({(*r[:4], i) for r in small for i in r[4]}, key=repr) == rows(index)
+
+
+def _small_blocks(monkeypatch, values, block):
+    from foliant.plans import postings as p
+
+    monkeypatch.setattr(p, "BLOCK", block)
+    for b in p._pack(iter(values.toArrow().to_batches())):
+        yield from zip(*b.to_pydict().values())
+
+
+def test_an_index_packs_its_postings(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"), CONFIG)
+    index.add([{"t": "the fox", "n": k % 2, "f": True} for k in range(50)] + ["no object"])
+    stored = spark.read.parquet(str(tmp_path / "i" / "terms"))
+    assert stored.count() < 20 and index.snapshot().index.count() > 400
+    assert found(index.query(q.number(1, "n") & q.token("fox"))) == list(range(1, 50, 2))
