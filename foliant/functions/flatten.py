@@ -58,22 +58,26 @@ def paths(schema: T.StructType) -> dict[str, Path]:
     return out
 
 
+def value(x: Any) -> Any:
+    """A plain value as it is kept, None if it isn't one."""
+    if isinstance(x, (str, bool)):
+        return x
+    if isinstance(x, (int, float)) and (isinstance(x, int) or math.isfinite(x)):
+        n = math.floor(x)
+        return n if abs(n) <= SAFE else None
+    return None
+
+
 def flatten(doc: dict[str, Any]) -> dict[str, Any]:
     """Dotted names to values or lists of values; numbers are floored, those beyond 2**53 and nulls are left out.
 
     An array of plain values is a list; of an array with documents or arrays in it, these are flattened and merged under
     the array's name (an inner array's places become names), and its plain values stay values of the array's own name.
     """
+    if not any(isinstance(x, (dict, list)) or not isinstance(k, str) for k, x in doc.items()):
+        return {k: v for k, x in doc.items() if (v := value(x)) is not None}
     out: dict[str, Any] = {}
 
-    def value(x: Any) -> Any:
-        if isinstance(x, (str, bool)):
-            return x
-        if isinstance(x, (int, float)) and (isinstance(x, int) or math.isfinite(x)):
-            n = math.floor(x)
-            return n if abs(n) <= SAFE else None
-        return None
-
     def put(name: str, x: Any) -> None:
         if name not in out:
             out[name] = x
@@ -102,10 +106,24 @@ def flatten(doc: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
-def typed(values: Any) -> dict[str, list]:
-    """A field's values by kind."""
-    x = values if isinstance(values, list) else [values]
-    return {"s": [v for v in x if isinstance(v, str)], "n": [v for v in x if isinstance(v, int) and not isinstance(v, bool)], "b": [v for v in x if isinstance(v, bool)]}
+def mapped(docs: list[dict[str, Any]]) -> pa.Array:
+    """Each flattened document as a map from its names to their values by kind."""
+    names: list[str] = []
+    ends, of_s, of_n, of_b = [0], [0], [0], [0]
+    s: list[str] = []
+    n: list[int] = []
+    b: list[bool] = []
+    for doc in docs:
+        for name, x in doc.items():
+            names.append(name)
+            for v in x if isinstance(x, list) else (x,):
+                (s if isinstance(v, str) else b if isinstance(v, bool) else n).append(v)
+            of_s.append(len(s))
+            of_n.append(len(n))
+            of_b.append(len(b))
+        ends.append(len(names))
+    each = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, t)) for o, v, t in ((of_s, s, pa.string()), (of_n, n, pa.int64()), (of_b, b, pa.bool_()))]
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.StructArray.from_arrays(each, names=["s", "n", "b"]))
 
 
 def open_fields(df: DataFrame, source: str = "_source") -> DataFrame:
@@ -117,8 +135,6 @@ def open_fields(df: DataFrame, source: str = "_source") -> DataFrame:
     schema = T.StructType([*df.drop(FIELDS).schema.fields, T.StructField(FIELDS, T.MapType(T.StringType(), VALUES))])
     names = df.drop(FIELDS).columns
     at, made = names.index(source), names.index(MADE) if MADE in names else None
-    kind = pa.map_(pa.string(), pa.struct([("s", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("b", pa.list_(pa.bool_()))]))
-
     def flat(text: str | None) -> dict[str, Any]:
         try:
             doc = json.loads(text) if text else {}
@@ -126,11 +142,11 @@ def open_fields(df: DataFrame, source: str = "_source") -> DataFrame:
         except (ValueError, RecursionError):
             return {}
 
-    def read(text: str | None, more: str | None) -> list[tuple[str, dict]]:
-        return [(k, typed(v)) for k, v in {**flat(text), **(flat(more) if more else {})}.items()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([read(x, y) for x, y in zip(b.column(at).to_pylist(), [None] * b.num_rows if made is None else b.column(made).to_pylist())], kind)], names=[*b.schema.names, FIELDS])
+            docs = [flat(x) for x in b.column(at).to_pylist()]
+            if made is not None:
+                docs = [{**doc, **(flat(more) if more else {})} for doc, more in zip(docs, b.column(made).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, mapped(docs)], names=[*b.schema.names, FIELDS])
 
     return df.drop(FIELDS).mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.config import FieldConfig, Flag, IndexConfig
 from foliant.functions.analyzers import standard
+from foliant.functions.flatten import flatten, mapped
 from foliant.operators import aggregate as a
 from foliant.operators import query as q
 from foliant.operators.collection import Collection
@@ -169,3 +170,11 @@ def test_an_index_packs_its_postings(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "i" / "terms"))
     assert stored.count() < 20 and index.snapshot().index.count() > 400
     assert found(index.query(q.number(1, "n") & q.token("fox"))) == list(range(1, 50, 2))
+
+
+def test_fields_are_mapped_by_columns():
+    """Whole batches of flattened documents at once, with what each document has kept apart."""
+    docs = [{"a": 1.5, "b": "x", "c": True}, {}, {"a": [], "b": None}, {"a": [1, True, "x", {"b": 2}, [3]]}, {"a": {"b": [{"c": "d"}, {"c": 5}]}, "": 1e300}, {"n": float("inf"), "m": -0.5}]
+    e = {"s": [], "n": [], "b": []}
+    want = [[("a", e | {"n": [1]}), ("b", e | {"s": ["x"]}), ("c", e | {"b": [True]})], [], [("a", e)], [("a", {"s": ["x"], "n": [1], "b": [True]}), ("a.b", e | {"n": [2]}), ("a.0", e | {"n": [3]})], [("a.b.c", {"s": ["d"], "n": [5], "b": []})], [("m", e | {"n": [-1]})]]
+    assert mapped([flatten(d) for d in docs]).to_pylist() == want and mapped([]).to_pylist() == []
