@@ -25,6 +25,9 @@ STOP_WORDS = frozenset(
 ) | {""}
 
 
+_SPACE = " \t\n\r\f\x0b"
+
+
 def keyword(c: Column) -> Column:
     """The value itself as the only term."""
     return F.array(c)
@@ -32,10 +35,10 @@ def keyword(c: Column) -> Column:
 
 def standard(c: Column) -> Column:
     """Trimmed, in lower case, split at white space and - , ; : . (empty terms stay where a separator ends the text)."""
-    return F.split(F.regexp_replace(F.lower(c), r"^[\s\x0B]+|[\s\x0B]+$", ""), r"[\s\x0B\-,;:.]+")
+    return F.split(F.btrim(F.lower(c), F.lit(_SPACE)), r"[\s\x0B\-,;:.]+")
 
 
-_BETWEEN = " \t\n\r\f\x0b-,;:."
+_BETWEEN = f"{_SPACE}-,;:."
 
 
 def _standard_matches(c: Column, term: str) -> Column | None:

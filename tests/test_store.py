@@ -178,3 +178,8 @@ def test_fields_are_mapped_by_columns():
     e = {"s": [], "n": [], "b": []}
     want = [[("a", e | {"n": [1]}), ("b", e | {"s": ["x"]}), ("c", e | {"b": [True]})], [], [("a", e)], [("a", {"s": ["x"], "n": [1], "b": [True]}), ("a.b", e | {"n": [2]}), ("a.0", e | {"n": [3]})], [("a.b.c", {"s": ["d"], "n": [5], "b": []})], [("m", e | {"n": [-1]})]]
     assert mapped([flatten(d) for d in docs]).to_pylist() == want and mapped([]).to_pylist() == []
+
+
+def test_space_before_a_last_line_mark(spark):
+    """As in the SQL, only white space at the very ends is trimmed."""
+    assert spark.range(1).select(standard(F.lit(" \t\x0bAbc \u0085")).alias("t")).first().t == ["abc", "\u0085"]
